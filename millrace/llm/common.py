@@ -114,3 +114,18 @@ def empty_if_void(df: DataFrame, column: str) -> DataFrame:
     if isinstance(df.schema[column].dataType, T.NullType):
         df = df.withColumn(column, df[column].cast("string"))
     return df
+
+
+def keep_freed_memory() -> None:
+    """Have the C allocator of this Python worker keep up to 64 MB of freed memory for the next arrays.
+
+    Otherwise each numpy temporary over 128 KB is mapped and unmapped, and page faults cost more than the sums.
+    """
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # no glibc: slower, otherwise alike
+        pass
