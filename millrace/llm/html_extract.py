@@ -76,8 +76,6 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/>\"']+)", re.S)
 _WORD = re.compile(r"[a-z0-9]+")
-#: White space of HTML and the no-break space.
-_SPACE = re.compile(r"[\s ]+")
 
 
 @dataclass(slots=True)
@@ -194,7 +192,7 @@ def _hash(text: str) -> int:
 
 def skeleton(node: Node, depth: int = 0) -> Slot:
     """A page's tree for alignment: runs of like siblings are one node; each node knows its own text's hash."""
-    own = _SPACE.sub(" ", " ".join(c for c in node.children if isinstance(c, str))).strip()
+    own = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
     children: list[Slot] = []
     for c in node.children:
         if isinstance(c, str) or depth >= DEPTH:
@@ -376,7 +374,7 @@ def blocks(node: Node, skip: set[int]) -> list[str]:
     now: list[str] = []
 
     def close() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(now))).strip(" ")
+        text = " ".join(html.unescape("".join(now)).split())
         now.clear()
         if text:
             out.append(text)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, lines, simhash, token_files, toxicity, url_filter
+from . import chat, decontaminate, fingerprints, html_extract, lines, simhash, token_files, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op4(table(spark, sf_dir, "pages"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op6(table(spark, sf_dir, "pages"))
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_decontamination": op3_decontamination,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_fingerprints": op5_fingerprints,
     "op6_url_filters": op6_url_filters,
     "op8_toxicity": op8_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
