@@ -56,14 +56,14 @@ def fingerprint(text: bytes, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
-    """``key, fp``: one signed 64-bit fingerprint for each row. Null texts have no words."""
+    """``doc_id, th, fp``: one signed 64-bit fingerprint and a hash of the text for each row. Null texts have no words."""
 
     def run(b: pa.RecordBatch) -> dict:
         fps = np.array([fingerprint(x, size) for x in raw(b.column(1))], np.uint64).view(np.int64)
-        return {"doc_id": b.column(0), "fp": fps}
+        return {"doc_id": b.column(0), "th": b.column(2), "fp": fps}
 
-    picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_arrow(picked, run, "doc_id long, fp long")
+    picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("th"))
+    return map_arrow(picked, run, "doc_id long, th long, fp long")
 
 
 # --- partitions and thresholds ---------------------------------------------------------------------------
@@ -334,7 +334,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tau: int = 4, size: int = 4) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row; component_id is the smallest doc_id reachable.
+    """``doc_id, th, fp, root, component_id`` for every row; component_id is the smallest doc_id reachable.
+
+    th is a hash of the text, root the least fingerprint of the component.
 
     Nulls: a null text has no words, so fingerprint 0, linked like any other. A row whose doc_id is null takes
     part in links; it is never the smallest unless all ids of its component are null, then component_id is null.
@@ -346,9 +348,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ta
     roots = materialize(components(links(nodes, tau)).select(F.col("node").alias("fp"), "root"), "simhash-roots")
     linked = nodes.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
-    whole = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(whole, "fp", "left").select("doc_id", "fp", "component_id")
+    named = linked.join(least, "root").select("fp", "root", "component_id")
+    whole = nodes.join(named, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")
+    )
+    # written, so that both sides of the last join are plain exchanges: a fingerprint of many copies is split
+    return fps.join(materialize(whole, "simhash-components"), "fp", "left").select("doc_id", "th", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, tau: int = 4, size: int = 4) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) with one document of each component: that with the least doc_id.
+
+    Null ids come last, ties go to the least hash of the text, and of rows that repeat both one stays.
+    """
+    found = materialize(near_duplicates(docs, tau=tau, size=size).select("doc_id", "th", "root"), "simhash-found")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    kept = found.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("_id"), F.col("p.th").alias("_th"))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    out = docs.join(kept, match, "left_semi")
+    repeated = found.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        out = out.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    return out
 
 
 def op9(docs: DataFrame) -> DataFrame:
