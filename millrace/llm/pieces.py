@@ -35,6 +35,8 @@ HEAD_BYTES = 96 << 20
 #: A task hands its distinct units on when it holds so many.
 UNITS = 400_000
 CACHE = 150_000
+#: Units of one lattice task: bounds the edges that it holds.
+PART_UNITS = 40_000
 #: Score of an unknown character in a unigram lattice, below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -112,14 +114,16 @@ def load(path: str) -> Vocabulary:
 # --- units -----------------------------------------------------------------------------------------------
 
 
+#: Latin letters, in ranges that the pattern compiler turns into one table.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
+
+
 @cache
 def unit_pattern(vocabulary: Vocabulary) -> re.Pattern:
     """The finest of three patterns whose cuts no piece crosses; matches cover any text."""
-    odd = "".join(re.escape(c) for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-    letters = rf"[^\W\d_{odd}]"
-    fine = rf"{BLANK}*{letters}+|\d|{BLANK}*(?:[^\w{BLANK}]|[_{odd}])+|{BLANK}+"
+    fine = rf"{BLANK}*[{LATIN}]+|[0-9]|{BLANK}*[^{LATIN}{BLANK}0-9]+|{BLANK}+"
     for source in (fine, rf"{BLANK}*[^{BLANK}]+|{BLANK}+"):
-        pattern = re.compile(source, re.S)
+        pattern = re.compile(source)
         if all(pattern.fullmatch(vocabulary.pieces[i]) and len(pattern.findall(vocabulary.pieces[i])) == 1 for i in vocabulary.plain):
             return pattern
     return re.compile(r".+", re.S)
@@ -150,7 +154,7 @@ def distinct_units(docs: DataFrame, path: str) -> DataFrame:
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "unit string, n long")
-    return rows.groupBy("unit").agg(F.sum("n").alias("n"))
+    return materialize(rows.groupBy("unit").agg(F.sum("n").alias("n")), "units")
 
 
 # --- the lattice -----------------------------------------------------------------------------------------
@@ -163,19 +167,21 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``unit, edges``: (order, i, k, id, score, inner, ends) of every piece at position i of k characters.
+    """``unit, n, edges``: (order, i, k, id, score, inner, ends) of every piece at position i of k characters.
 
     ``order`` is the merge priority; ``inner`` and ``ends`` are the boundary bits between and around the piece.
+    Single characters are edges even without a piece, with a null id. ``units`` is dealt by unit, and stays so
+    until the edges are grouped: only the units themselves are shuffled.
     """
-    n = F.length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    spans = starts.select("unit", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("i")))).alias("k"))
-    subs = spans.select("unit", "i", "k", F.substring("unit", F.col("i") + 1, F.col("k")).alias("piece"))
+    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("i"))
+    spans = starts.select("unit", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("i")))).alias("k"))
+    subs = spans.select("unit", "n", "i", "k", F.substring("unit", F.col("i") + 1, F.col("k")).alias("piece"))
     one = F.lit(1).cast("long")
     inner = F.call_function("shiftleft", F.call_function("shiftleft", one, F.col("k") - 1) - 1, F.col("i") + 1)
     ends = F.call_function("shiftleft", one, F.col("i")).bitwiseOR(F.call_function("shiftleft", one, F.col("i") + F.col("k")))
     edge = F.struct((-F.col("score")).alias("order"), "i", "k", "id", "score", inner.alias("inner"), ends.alias("ends"))
-    return subs.join(F.broadcast(pieces), "piece").groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    found = subs.join(F.broadcast(pieces), "piece", "left").filter(F.col("id").isNotNull() | (F.col("k") == 1))
+    return found.groupBy("unit", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
 def _let(value: Column, then) -> Column:
@@ -211,7 +217,7 @@ def viterbi_cuts(n: Column, unknown: float) -> Column:
     bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.cast("int"))
 
     def step(acc: Column, end: Column) -> Column:
-        into = F.filter("edges", lambda e: e["i"] + e["k"] == end)
+        into = F.filter("edges", lambda e: (e["i"] + e["k"] == end) & e["id"].isNotNull())
 
         def path(i: Column, score: Column, k: Column) -> Column:
             before = F.element_at(acc, i + 1)
@@ -219,7 +225,7 @@ def viterbi_cuts(n: Column, unknown: float) -> Column:
 
         known = F.transform(into, lambda e: path(e["i"], e["score"], e["k"]))
         alone = F.array(path(end - 1, F.lit(unknown), F.lit(1)))
-        paths = F.when(F.exists(into, lambda e: e["k"] == 1), known).otherwise(F.concat(known, alone))
+        paths = F.when(F.exists(into, lambda e: e["id"].isNotNull() & (e["k"] == 1)), known).otherwise(F.concat(known, alone))
         best = _let(F.array_max(paths), lambda b: F.struct(b["score"].alias("score"), b["cuts"].alias("cuts")).cast(state))
         return F.concat(acc, F.array(best))
 
@@ -234,7 +240,7 @@ def cut_ids(cuts: Column, n: Column, byte_ids: list[int]) -> Column:
     table = F.array(*map(F.lit, byte_ids))
 
     def ids(start: Column, end: Column) -> Column:
-        found = F.transform(F.filter("edges", lambda e: (e["i"] == start) & (e["i"] + e["k"] == end)), lambda e: e["id"])
+        found = F.transform(F.filter("edges", lambda e: (e["i"] == start) & (e["k"] == end - start) & e["id"].isNotNull()), lambda e: e["id"])
         code = F.hex(F.encode(F.substring(F.col("unit"), start + 1, end - start), "utf-8"))
         bytes_ = F.transform(
             F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda b: F.element_at(table, F.conv(F.substring(code, b, F.lit(2)), 16, 10).cast("int") + 1)
@@ -253,17 +259,11 @@ def dictionary(units: DataFrame, vocabulary: Vocabulary, path: str | None = None
     spark = units.sparkSession
     longest = max((len(vocabulary.pieces[i]) for i in vocabulary.plain), default=1)
     n = F.length("unit")
-    short = units.filter(n <= MASK_CHARS)
-    edges = lattice(short, piece_table(spark, vocabulary), longest)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // PART_UNITS))
+    edges = lattice(units.filter(n <= MASK_CHARS).repartition(parts, "unit"), piece_table(spark, vocabulary), longest)
     unknown = min((vocabulary.scores[i] for i in vocabulary.plain), default=0.0) - UNKNOWN_PENALTY
     cuts = merge_cuts(n) if vocabulary.model_type == BPE else viterbi_cuts(n, unknown)
-    found = edges.select("unit", "edges", cuts.alias("cuts"))
-    found = found.select("unit", cut_ids(F.col("cuts"), n, vocabulary.byte_ids).alias("ids"))
-    # a unit without a single edge has no row there: all bytes
-    code = F.hex(F.encode(F.col("unit"), "utf-8"))
-    table = F.array(*map(F.lit, vocabulary.byte_ids))
-    bytes_ = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda b: F.element_at(table, F.conv(F.substring(code, b, F.lit(2)), 16, 10).cast("int") + 1))
-    rows = short.join(found, "unit", "left").select("unit", "n", F.coalesce("ids", bytes_).alias("ids"))
+    rows = edges.select("unit", "n", "edges", cuts.alias("cuts")).select("unit", "n", cut_ids(F.col("cuts"), n, vocabulary.byte_ids).alias("ids"))
     if path is None:
         return rows
 
@@ -354,7 +354,15 @@ def encode_decode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES) -> D
     spark = docs.sparkSession
     vocabulary = load(path)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    words = materialize(dictionary(distinct_units(picked, path), vocabulary, path), "piece-dictionary")
+    units = distinct_units(picked, path)
+    # edges are grouped by hash as long as a task's units fit, instead of being sorted
+    conf, limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(2 * PART_UNITS)
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, limit)
+    try:
+        words = materialize(dictionary(units, vocabulary, path), "piece-dictionary")
+    finally:
+        spark.conf.set(conf, before)
     head, least = head_entries(words, head_bytes)
     shared = spark.sparkContext.broadcast(head)
     has_tail = not words.filter((F.col("n") < least)).isEmpty() or least == 1 << 62
