@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ BLOCK = 512
 FRAME = 1 << 19
 END_ID = 2
 #: Cached chunks of text in each of two generations, per Python worker.
-CACHE = 200_000
+CACHE = 300_000
 
 # --- the code --------------------------------------------------------------------------------------------
 
@@ -146,37 +147,48 @@ class ChunkEncoder:
         rest = [i for i in range(256) if i not in set(keep)]
         # the usual printable stand-ins of bytes
         self.alphabet = {i: i for i in keep} | {b: 256 + i for i, b in enumerate(rest)}
+        self.blank = chr(self.alphabet[32])
+        self.code = "H" if self.dtype == "<u2" else "I"
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
 
     def model(self, s: str) -> list[int]:
-        return [t.id for t in self.bpe.tokenize(s.encode().decode("latin-1").translate(self.alphabet))]
-
-    def ids(self, chunk: str) -> list[int]:
-        """Ids of one chunk, its leading space included."""
-        body = chunk[1:] if chunk[:1] == " " else chunk
+        if s.isascii() and s.isprintable():
+            # printable ASCII but the blank stands for itself
+            s = s.replace(" ", self.blank)
+        else:
+            s = s.encode().decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.bpe.tokenize(s)]
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def ids(self, chunk: str) -> bytes:
+        """Ids, as bytes, of one chunk, its leading space included."""
+        lead = chunk[:1] == " "
+        body = chunk[1:] if lead else chunk
         if m := _PLAIN.fullmatch(body):
             word, tail = m.groups()
-            ids = self.model(chunk[: len(chunk) - len(tail)])
-            if tail:
-                if tail not in self.parts:
-                    self.parts[tail] = self.model(tail)
-                ids = ids + self.parts[tail]
-            return ids
+            if not tail:
+                return self.pack(self.model(chunk))
+            if tail not in self.parts:
+                self.parts[tail] = self.pack(self.model(tail))
+            # a word before a comma is mostly known without it
+            return (self.young.get(word) or self.lookup(word) if lead else self.pack(self.model(word))) + self.parts[tail]
         lines = body.split("\n")
         if len(lines) > 1 and all(_PLAIN.fullmatch(x) for x in lines):
-            ids = self.ids(chunk[: len(chunk) - len(body)] + lines[0])
-            for x in lines[1:]:  # a line end between non-blanks is a pre-token
-                ids = ids + self.model("\n") + self.ids(x)
-            return ids
-        return self.tok.encode(chunk, add_special_tokens=False).ids
+            first = self.young.get(lines[0]) or self.lookup(lines[0]) if lead else self.ids(lines[0])
+            end = self.pack(self.model("\n"))
+            # a line end between non-blanks is a pre-token
+            return end.join([first, *map(self.ids, lines[1:])])
+        return self.pack(self.tok.encode(chunk, add_special_tokens=False).ids)
 
     def lookup(self, key: str) -> bytes:
         """Ids, as bytes, of the chunk " " + key."""
         found = self.old.get(key)
         if found is None:
-            found = np.array(self.ids(" " + key), self.dtype).tobytes()
+            found = self.ids(" " + key)
         if not key or key[-1].isspace():
             return found  # only at the end of a text a chunk of its own, so never cached
         if len(self.young) >= CACHE:
@@ -199,7 +211,7 @@ class ChunkEncoder:
                 else:
                     chunks.append(x)
             first, out = chunks[0], [get(x) or self.lookup(x) for x in chunks[1:] if x is not None]
-        head = np.array(self.ids(first), self.dtype).tobytes() if first else b""
+        head = self.ids(first) if first else b""
         return head + b"".join(out)
 
 
