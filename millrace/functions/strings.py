@@ -20,7 +20,7 @@ def ascii(s: ColumnOrName) -> Column:
 @function("UNICODE")
 def unicode(s: ColumnOrName) -> Column:
     """Code point of the first character, beyond the basic plane too."""
-    h = F.hex(F.encode(F.substring(col(s), 1, 1), "UTF-32BE"))
+    h = F.hex(F.encode(F.substring(col(s), 1, 1), "UTF-32"))
     return F.when(F.length(col(s)) == 0, 0).otherwise(F.conv(h, 16, 10).cast("int"))
 
 
@@ -29,7 +29,7 @@ def chr_(n: ColumnOrName) -> Column:
     """Character of a code point; an error outside of Unicode."""
     n = col(n)
     ok = (n >= 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    return must(ok, F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32BE"), "CHR: not a code point")
+    return must(ok, F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32"), "CHR: not a code point")
 
 
 @function()

@@ -73,7 +73,7 @@ def star(
 
 def position(df: DataFrame, n: int) -> Column:
     """``$n``: a column by its place, from 1."""
-    return df[df.columns[n - 1]]
+    return F.col(f"`{df.columns[n - 1]}`")
 
 
 def with_aliases(df: DataFrame, **items: Column | str) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregate_queries, relational, scalars
+from .book import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+BOOKS = [relational.BOOK, scalars.BOOK, aggregate_queries.BOOK]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {n: q for b in BOOKS for n, q in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: s for b in BOOKS for n, s in b.sql.items()}

@@ -237,7 +237,7 @@ def having(t: Tables) -> DataFrame:
 
 @query("SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS F, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS O, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)::BIGINT AS P FROM orders GROUP BY o_custkey")
 def pivot_list(t: Tables) -> DataFrame:
-    return groups.pivot(t.orders, ["o_custkey"], "o_orderstatus", F.count("*"), ["F", "O", "P"], default=0)
+    return groups.pivot(t.orders, ["o_custkey"], "o_orderstatus", F.count(F.lit(1)), ["F", "O", "P"], default=0)
 
 
 @query("SELECT c_nationkey, max(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN c_acctbal END) AS AUTOMOBILE, max(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal END) AS BUILDING FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING') GROUP BY c_nationkey")
@@ -288,14 +288,14 @@ def window_navigation(t: Tables) -> DataFrame:
 
 
 @query("""SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS running,
-round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS sliding,
+round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS sliding,
 count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour,
 max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS ahead FROM events""")
 def window_frames(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    micros = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)
+    micros = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
     return t.events.select(
-        "event_id", F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running"), F.round(F.avg("value").over(w.rowsBetween(-9, 0)), 4).alias("sliding"),
+        "event_id", F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running"), F.round(F.avg("value").over(w.rowsBetween(-9, 0)), 6).alias("sliding"),
         F.count("*").over(micros).alias("last_hour"), F.max("value").over(w.rowsBetween(1, 3)).alias("ahead"),
     )
 
@@ -428,7 +428,7 @@ def split_to_table(t: Tables) -> DataFrame:
     return tables.split_to_table(t.part, "p_name", " ", "p_partkey").select("p_partkey", "INDEX", "VALUE")
 
 
-@query("SELECT event_id, key AS KEY, CAST(value AS BIGINT) AS v FROM events, json_each(props)")
+@query("SELECT event_id, j.key AS KEY, CAST(j.value AS BIGINT) AS v FROM events, json_each(props) j")
 def flatten_variant(t: Tables) -> DataFrame:
     out = tables.flatten(t.events.select("event_id", F.parse_json("props").alias("p")), "p")
     return out.select("event_id", "KEY", F.col("VALUE").cast("bigint").alias("v"))
