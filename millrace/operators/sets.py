@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.union(b).distinct()
@@ -30,13 +31,7 @@ def minus(a: DataFrame, b: DataFrame) -> DataFrame:
 def _written(df: DataFrame) -> DataFrame:
     """Parquet in the shared folder where there is one: a step of a loop doesn't repeat the steps before."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/loop-{uuid.uuid4().hex}"
+    path = scratch(spark, "loop")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,3 +33,12 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temporary views over the tables of a folder."""
     for n in names or TABLES:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def scratch(spark: SparkSession, name: str = "scratch") -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; a local one if unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
