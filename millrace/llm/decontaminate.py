@@ -177,6 +177,6 @@ def op3(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without any hit word."""
-    dirty = decontaminate(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    dirty = decontaminate(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("__millrace_id"), F.col("th").alias("__millrace_th")).distinct()
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__millrace_id")) & (F.xxhash64("text") == F.col("__millrace_th"))
     return docs.join(dirty, match, "left_anti")

@@ -26,8 +26,8 @@ TABLE_ROWS = 1 << 15
 #: Terms weighed at once: bounds memory for very long texts.
 CHUNK = 1024
 CACHE = 200_000
-#: Ranges of doc_id; each is one group of neighbours, sorted and walked in one task.
-RANGES = 512
+#: Ranges of doc_id for each shuffle partition; a range is one group of neighbours, walked in one task.
+RANGES = 8
 
 
 @dataclass
@@ -147,7 +147,7 @@ def sampler() -> Sampler:
     return _samplers[0]
 
 
-def neighbours(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Rows ``part, extra, ord, doc_id, text``: sorted by (part, extra, ord descending), each row's successor is
     the next document in descending doc_id.
 
@@ -155,6 +155,7 @@ def neighbours(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     also dealt, marked ``extra``, to the range before it (that of the first range to the last), so that no
     order over the whole table is needed. Null ids come last.
     """
+    ranges = ranges or RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_x", F.col("ord").cast("double"))
     probs = [i / ranges for i in range(1, ranges)]

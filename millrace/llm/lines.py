@@ -71,16 +71,16 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     found = materialize(found, "line-boilerplate")
     cut = (
         lines.join(found.select("h", "first"), "h").filter(F.struct("doc_id", "th", "pos") != F.col("first"))
-        .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_cut")).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+        .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("__millrace_cut")).withColumnsRenamed({"doc_id": "__millrace_id", "th": "__millrace_th"})
     )
     th = F.xxhash64("text", "source")
-    joined = base.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left")
+    joined = base.join(cut, F.col("doc_id").eqNullSafe(F.col("__millrace_id")) & (th == F.col("__millrace_th")), "left")
     parts = lines_of(F.col("text"))
-    kept = F.filter(parts, lambda _, i: ~F.array_contains("_cut", i))
+    kept = F.filter(parts, lambda _, i: ~F.array_contains("__millrace_cut", i))
     return joined.select(
-        *(F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in base.columns),
+        *(F.when(F.col("__millrace_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in base.columns),
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_cut"),
+        F.coalesce(F.size("__millrace_cut"), F.lit(0)).cast("long").alias("n_cut"),
     )
 
 

@@ -370,8 +370,8 @@ def encode_decode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES) -> D
     if has_tail or _collides(words):
         missing = picked.mapInArrow(_missing(path, shared), "doc_id long, th long, unit string").distinct()
         pairs = missing.join(words.select("unit", "ids"), "unit").groupBy("doc_id", "th")
-        tail_rows = pairs.agg(F.collect_list(F.struct("unit", "ids")).alias("own")).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-        picked = picked.join(tail_rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select(
+        tail_rows = pairs.agg(F.collect_list(F.struct("unit", "ids")).alias("own")).withColumnsRenamed({"doc_id": "__millrace_id", "th": "__millrace_th"})
+        picked = picked.join(tail_rows, F.col("doc_id").eqNullSafe(F.col("__millrace_id")) & (F.col("th") == F.col("__millrace_th")), "left").select(
             "doc_id", "th", "text", F.col("own.unit").alias("units"), F.col("own.ids").alias("unit_ids")
         )
     else:

@@ -363,12 +363,12 @@ def one_of_each(docs: DataFrame, tau: int = 4, size: int = 4) -> DataFrame:
     """
     found = materialize(near_duplicates(docs, tau=tau, size=size).select("doc_id", "th", "root"), "simhash-found")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    kept = found.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("_id"), F.col("p.th").alias("_th"))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    kept = found.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("__millrace_id"), F.col("p.th").alias("__millrace_th"))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__millrace_id")) & (F.xxhash64("text") == F.col("__millrace_th"))
     out = docs.join(kept, match, "left_semi")
     repeated = found.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1")
     if not repeated.isEmpty():
-        out = out.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+        out = out.withColumn("__millrace_th", F.xxhash64("text")).dropDuplicates(["doc_id", "__millrace_th"]).drop("__millrace_th")
     return out
 
 

@@ -187,6 +187,6 @@ def op8(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that aren't predicted toxic."""
-    toxic = score(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    toxic = score(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("__millrace_id"), F.col("th").alias("__millrace_th")).distinct()
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__millrace_id")) & (F.xxhash64("text") == F.col("__millrace_th"))
     return docs.join(toxic, match, "left_anti")
