@@ -161,27 +161,61 @@ def distinct_units(docs: DataFrame, path: str) -> DataFrame:
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    """``piece, id, score``; as long as the vocabulary."""
-    rows = [(vocabulary.pieces[i], i, vocabulary.scores[i]) for i in vocabulary.plain]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """``piece, id, score, rank``; as long as the vocabulary. rank: merge priority, equal for equal scores."""
+    ids = vocabulary.plain
+    order = {x: r for r, x in enumerate(sorted({-vocabulary.scores[i] for i in ids}))}
+    rows = [(vocabulary.pieces[i], i, vocabulary.scores[i], order[-vocabulary.scores[i]]) for i in ids]
+    return spark.createDataFrame(rows, "piece string, id int, score double, rank int")
+
+
+_EDGE = ("i", "k", "id", "inner", "ends", "score")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal, adjacent ``u`` as one row with lists, each unit's edges in the order (rank, i)."""
+
+    def close(b: pa.RecordBatch, cuts: np.ndarray, end: int) -> pa.RecordBatch:
+        b = b.slice(0, end)
+        order = pa.array(np.lexsort([b.column(i).to_numpy() for i in (4, 3, 0)]))
+        offsets = pa.array(np.append(cuts, end).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, b.column(i).take(order)) for i in range(4, b.num_columns)]
+        first = pa.array(cuts)
+        return pa.RecordBatch.from_arrays([b.column(1).take(first), b.column(2).take(first), *lists], ["unit", "n", *b.schema.names[4:]])
+
+    rest: pa.RecordBatch | None = None
+    for b in batches:
+        if rest is not None:
+            b = pa.concat_batches([rest, b])
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(b.column(0).to_numpy())) + 1))
+        last = int(cuts[-1])
+        if last:  # the last unit may go on in the next batch
+            yield close(b, cuts[:-1], last)
+        rest = b.slice(last)
+    if rest is not None and rest.num_rows:
+        yield close(rest, np.zeros(1, np.int64), rest.num_rows)
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``unit, n, edges``: (order, i, k, id, score, inner, ends) of every piece at position i of k characters.
+    """``unit, n, edges``: (i, k, id, inner, ends, score) of every piece at position i of k characters, by merge
+    priority and position.
 
-    ``order`` is the merge priority; ``inner`` and ``ends`` are the boundary bits between and around the piece.
-    Single characters are edges even without a piece, with a null id. ``units`` is dealt by unit, and stays so
-    until the edges are grouped: only the units themselves are shuffled.
+    ``inner`` and ``ends`` are the boundary bits between and around the piece. Single characters are edges even
+    without a piece, with a null id. A unit's substrings stay together in its task, so the edges are grouped
+    there, run by run, and only the units themselves are shuffled.
     """
-    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("i"))
-    spans = starts.select("unit", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("i")))).alias("k"))
-    subs = spans.select("unit", "n", "i", "k", F.substring("unit", F.col("i") + 1, F.col("k")).alias("piece"))
-    one = F.lit(1).cast("long")
-    inner = F.call_function("shiftleft", F.call_function("shiftleft", one, F.col("k") - 1) - 1, F.col("i") + 1)
-    ends = F.call_function("shiftleft", one, F.col("i")).bitwiseOR(F.call_function("shiftleft", one, F.col("i") + F.col("k")))
-    edge = F.struct((-F.col("score")).alias("order"), "i", "k", "id", "score", inner.alias("inner"), ends.alias("ends"))
+    starts = units.withColumn("u", F.monotonically_increasing_id()).select("u", "unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("i"))
+    spans = starts.select("u", "unit", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("i")))).alias("k"))
+    subs = spans.select("u", "unit", "n", "i", "k", F.substring("unit", F.col("i") + 1, F.col("k")).alias("piece"))
     found = subs.join(F.broadcast(pieces), "piece", "left").filter(F.col("id").isNotNull() | (F.col("k") == 1))
-    return found.groupBy("unit", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    left = lambda x, n: F.call_function("shiftleft", x, n)
+    one = F.lit(1).cast("long")
+    inner = left(left(one, F.col("k") - 1) - 1, F.col("i") + 1)
+    ends = left(one, F.col("i")).bitwiseOR(left(one, F.col("i") + F.col("k")))
+    rank = F.coalesce("rank", F.lit((1 << 31) - 1))
+    rows = found.select("u", "unit", "n", rank.alias("rank"), "i", "k", "id", inner.alias("inner"), ends.alias("ends"), "score")
+    lists = "i array<int>, k array<int>, id array<int>, inner array<long>, ends array<long>, score array<double>"
+    grouped = rows.mapInArrow(_runs, f"unit string, n long, {lists}")
+    return grouped.select("unit", "n", F.arrays_zip(*_EDGE).alias("edges"))
 
 
 def _let(value: Column, then) -> Column:
@@ -190,6 +224,10 @@ def _let(value: Column, then) -> Column:
 
 
 def merge_cuts(n: Column) -> Column:
+    return _let(F.filter("edges", lambda e: e["k"] > 1), lambda multi: _merged(n, multi))
+
+
+def _merged(n: Column, multi: Column) -> Column:
     """Boundary bits after all BPE merges: again and again the first edge, by priority and then position, whose
     two halves are symbols now. The sign bit marks that nothing merges any more."""
     done = F.lit(-(1 << 63))
@@ -199,7 +237,7 @@ def merge_cuts(n: Column) -> Column:
             fits = (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
             return F.when(found != 0, found).when(fits, e["inner"]).otherwise(found)
 
-        best = F.aggregate("edges", F.lit(0).cast("long"), first)
+        best = F.aggregate(multi, F.lit(0).cast("long"), first)
         merged = _let(best, lambda f: F.when(f == 0, cuts.bitwiseOR(done)).otherwise(cuts.bitwiseAND(F.bitwise_not(f))))
         return F.when(cuts < 0, cuts).otherwise(merged)
 
@@ -233,22 +271,20 @@ def viterbi_cuts(n: Column, unknown: float) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)["cuts"]
 
 
-def cut_ids(cuts: Column, n: Column, byte_ids: list[int]) -> Column:
-    """Ids of the pieces between the boundaries; a character without a piece gives the ids of its bytes."""
-    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p)
-    at = F.filter(F.sequence(F.lit(0), n), lambda p: cuts.bitwiseAND(bit(p)) != 0)
+def cut_ids(cuts: Column, byte_ids: list[int]) -> Column:
+    """Ids of the pieces between the boundaries: edges with a boundary at both ends and none within.
+
+    A character without a piece gives the ids of its bytes.
+    """
     table = F.array(*map(F.lit, byte_ids))
 
-    def ids(start: Column, end: Column) -> Column:
-        found = F.transform(F.filter("edges", lambda e: (e["i"] == start) & (e["k"] == end - start) & e["id"].isNotNull()), lambda e: e["id"])
-        code = F.hex(F.encode(F.substring(F.col("unit"), start + 1, end - start), "utf-8"))
-        bytes_ = F.transform(
-            F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda b: F.element_at(table, F.conv(F.substring(code, b, F.lit(2)), 16, 10).cast("int") + 1)
-        )
-        return F.when(F.size(found) > 0, F.slice(found, 1, 1)).otherwise(bytes_)
+    def bytes_(e: Column) -> Column:
+        code = F.hex(F.encode(F.substring(F.col("unit"), e["i"] + 1, e["k"]), "utf-8"))
+        return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda b: F.element_at(table, F.conv(F.substring(code, b, F.lit(2)), 16, 10).cast("int") + 1))
 
-    pairs = F.arrays_zip(F.slice(at, F.lit(1), F.size(at) - 1).alias("s"), F.slice(at, F.lit(2), F.size(at) - 1).alias("e"))
-    return F.flatten(F.transform(pairs, lambda p: ids(p["s"], p["e"])))
+    picked = F.filter("edges", lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (cuts.bitwiseAND(e["inner"]) == 0))
+    placed = F.sort_array(F.transform(picked, lambda e: F.struct(e["i"].alias("i"), e["k"].alias("k"), e["id"].alias("id"))))
+    return F.flatten(F.transform(placed, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(bytes_(e))))
 
 
 def dictionary(units: DataFrame, vocabulary: Vocabulary, path: str | None = None) -> DataFrame:
@@ -263,7 +299,7 @@ def dictionary(units: DataFrame, vocabulary: Vocabulary, path: str | None = None
     edges = lattice(units.filter(n <= MASK_CHARS).repartition(parts, "unit"), piece_table(spark, vocabulary), longest)
     unknown = min((vocabulary.scores[i] for i in vocabulary.plain), default=0.0) - UNKNOWN_PENALTY
     cuts = merge_cuts(n) if vocabulary.model_type == BPE else viterbi_cuts(n, unknown)
-    rows = edges.select("unit", "n", "edges", cuts.alias("cuts")).select("unit", "n", cut_ids(F.col("cuts"), n, vocabulary.byte_ids).alias("ids"))
+    rows = edges.select("unit", "n", "edges", cuts.alias("cuts")).select("unit", "n", cut_ids(F.col("cuts"), vocabulary.byte_ids).alias("ids"))
     if path is None:
         return rows
 
@@ -354,15 +390,14 @@ def encode_decode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES) -> D
     spark = docs.sparkSession
     vocabulary = load(path)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    units = distinct_units(picked, path)
-    # edges are grouped by hash as long as a task's units fit, instead of being sorted
-    conf, limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(2 * PART_UNITS)
-    before = spark.conf.get(conf)
-    spark.conf.set(conf, limit)
+    found = dictionary(distinct_units(picked, path), vocabulary, path)
+    rows_conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_conf)
+    spark.conf.set(rows_conf, "20000")  # edges are narrow rows
     try:
-        words = materialize(dictionary(units, vocabulary, path), "piece-dictionary")
+        words = materialize(found, "piece-dictionary")
     finally:
-        spark.conf.set(conf, before)
+        spark.conf.set(rows_conf, before)
     head, least = head_entries(words, head_bytes)
     shared = spark.sparkContext.broadcast(head)
     has_tail = not words.filter((F.col("n") < least)).isEmpty() or least == 1 << 62
