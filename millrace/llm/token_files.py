@@ -198,19 +198,25 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         parts = text.split(" ")
-        first, get = parts[0], self.young.get
-        out = [get(x) for x in parts[1:]] if len(parts) > 1 else []
-        if first and first[-1].isspace() or None in out:
-            # slow path: chunks that aren't cached, and spaces that follow a blank
+        first, rest = parts[0], parts[1:]
+        out = list(map(self.young.get, rest))
+        missing = [i for i, x in enumerate(out) if x is None] if None in out else []
+        # chunks that end in a blank aren't cached, so only new ones can be of that kind
+        if first[-1:].isspace() or any(not (x := rest[i]) or x[-1].isspace() for i in missing):
+            # spaces that follow a blank don't begin a chunk
             chunks = [first]
-            for x in parts[1:]:
+            for x in rest:
                 if len(chunks) == 1 and not chunks[0]:
                     chunks.append(x)  # the text begins with this space
                 elif not chunks[-1] or chunks[-1][-1].isspace():
                     chunks[-1] += " " + x
                 else:
                     chunks.append(x)
-            first, out = chunks[0], [get(x) or self.lookup(x) for x in chunks[1:] if x is not None]
+            first, rest = chunks[0], chunks[1:]
+            out = list(map(self.young.get, rest))
+            missing = [i for i, x in enumerate(out) if x is None]
+        for i in missing:
+            out[i] = self.young.get(rest[i]) or self.lookup(rest[i])
         head = self.ids(first) if first else b""
         return head + b"".join(out)
 
