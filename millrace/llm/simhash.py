@@ -361,7 +361,11 @@ def one_of_each(docs: DataFrame, tau: int = 4, size: int = 4) -> DataFrame:
 
     Null ids come last, ties go to the least hash of the text, and of rows that repeat both one stays.
     """
-    found = materialize(near_duplicates(docs, tau=tau, size=size).select("doc_id", "th", "root"), "simhash-found")
+    return least_of_each(docs, materialize(near_duplicates(docs, tau=tau, size=size).select("doc_id", "th", "root"), "simhash-found"))
+
+
+def least_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``found`` (doc_id, th, root), chosen as in ``one_of_each``."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     kept = found.groupBy("root").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("__millrace_id"), F.col("p.th").alias("__millrace_th"))
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("__millrace_id")) & (F.xxhash64("text") == F.col("__millrace_th"))
