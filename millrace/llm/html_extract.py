@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import pickle
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
@@ -63,12 +64,12 @@ TEXT_KINDS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li td th dd dt figcap
 MIN_PAGES = 3
 #: A partial wrapper set of a task is passed on when it has so many hosts.
 HOSTS = 2_000
-#: Children of one wrapper node, at most; kinds that come later aren't told apart by position.
-CHILDREN = 64
-DEPTH = 40
 #: Wrappers that are sent to all executors take so many bytes at most.
 BROADCAST_BYTES = 32 << 20
 
+# Trees are matched, merged and pickled whole, by recursion; parse() nests 400 elements at most.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
@@ -190,14 +191,14 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
 
 
-def skeleton(node: Node, depth: int = 0) -> Slot:
+def skeleton(node: Node) -> Slot:
     """A page's tree for alignment: runs of like siblings are one node; each node knows its own text's hash."""
     own = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
     children: list[Slot] = []
     for c in node.children:
-        if isinstance(c, str) or depth >= DEPTH:
+        if isinstance(c, str):
             continue
-        s = skeleton(c, depth + 1)
+        s = skeleton(c)
         if children and children[-1].label == s.label:
             last = children[-1]
             last.same = _hash(f"{last.same} {s.same}")
@@ -247,7 +248,7 @@ def match(a: list[Slot], b: list[Slot], run: bool = False) -> list[Slot]:
             j -= 1
     out += reversed(a[:i])
     out += reversed(b[:j])
-    return out[::-1][:CHILDREN]
+    return out[::-1]
 
 
 def merge(x: Slot, y: Slot, run: bool = False) -> Slot:
@@ -321,7 +322,7 @@ def _aligned(a: list[Slot], b: list[Slot]) -> list[tuple[int, Slot]]:
 
 
 def _constant(slot: Slot) -> bool:
-    return slot.same is not None and all(map(_constant, slot.children))
+    return slot.same is not None and all(c.pages == slot.pages and _constant(c) for c in slot.children)
 
 
 def _has_text(slot: Slot) -> int:
