@@ -426,8 +426,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
         for b in batches:
             for url, source in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+                root = parse(source)
+                if all(isinstance(c, str) for c in root.children):
+                    continue  # no elements: nothing to align, and no page that could lack a template
                 host = split_url(url)[0]
-                w = page_wrapper(parse(source), source)
+                w = page_wrapper(root, source)
                 held[host] = held[host].add(w) if host in held else w
             if len(held) >= HOSTS:
                 yield flush()
@@ -461,7 +464,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, text`` for every row of ``pages``.
 
     Null or empty html gives an empty text; a null URL has the empty host, which is a host like any other.
-    Repeated rows get a row each; they count once where a host's distinct pages are counted. A host with fewer
+    Repeated rows get a row each; they count once where a host's distinct pages are counted. Pages without elements
+    aren't counted. A host with fewer
     than ``MIN_PAGES`` distinct pages has no template. Empty table: no rows. Other columns are not read. Pages
     of any length are read whole.
     """

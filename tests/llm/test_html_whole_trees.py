@@ -35,3 +35,12 @@ def test_one_off_siblings_of_a_host():
     """Siblings that each page has for itself don't push a template block out of the wrapper."""
     sources = [f"<body><div><section class={chr(97 + i % 26)}x{chr(97 + i // 26)}>story {i}</section><ul>fixed</ul></div></body>" for i in range(80)]
     assert extracted(sources) == [[f"story {i}"] for i in range(80)]
+
+
+def test_pages_without_elements_leave_the_template(spark):
+    """Null, empty and bare texts among a host's pages don't make its template content."""
+    rows = [(i, "http://a.test/x", f"<body><div><section>story {i}</section><ul>fixed</ul></div></body>") for i in range(4)]
+    rows += [(4, "http://a.test/x", None), (5, "http://a.test/x", ""), (6, "http://a.test/x", "bare")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert found == {0: "story 0", 1: "story 1", 2: "story 2", 3: "story 3", 4: "", 5: "", 6: "bare"}
