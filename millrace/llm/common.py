@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,39 @@ def delete_scratch() -> None:
 atexit.register(delete_scratch)
 
 
+def publish(spark: SparkSession, data: Iterable[bytes], kind: str) -> str:
+    """Write a file to the shared folder and have every executor fetch it; the name to map it by (``SparkFiles.get``).
+
+    It goes with the other scratch files.
+    """
+    name = f"{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    out = fs.create(path, True)
+    for part in data:
+        for i in range(0, len(part), 4 << 20):
+            out.write(bytearray(part[i : i + (4 << 20)]))
+    out.close()
+    _written.append((spark, path.toString()))
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time of a statement; jobs that run within see it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of a Python worker: few rows to an Arrow batch, however long their texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -2,10 +2,15 @@
 
 Texts are cut into units that no piece can cross (from the vocabulary: letters, other characters and blanks).
 The distinct units of the corpus are exploded into substrings of bounded length, equi-joined to the piece table
-and grouped by unit again: the edges of each unit's lattice. A fold with Spark's higher-order ``aggregate`` picks
-the path: Viterbi (the best sum of scores) for unigram models, and for BPE models, whose scores are merge
-priorities and not log-probabilities, the merges in their order over the same edges. The units' ids make a
-dictionary, with which whole texts are encoded in one pass.
+and grouped by unit again: the edges of each unit's lattice. A Viterbi fold with Spark's higher-order
+``aggregate`` picks the path. The units' ids make a dictionary, with which whole texts are encoded in one pass.
+
+Unigram models add up scores. The scores of a BPE model are merge priorities, and their sum doesn't give the
+model's ids; there an edge weighs the *set* of merges that build its piece, each a key (priority, position), and
+of two paths the one that holds the least key of their symmetric difference is better. That order is kept when
+the same set is added to both sides, so Viterbi finds the best path, and the best path is what the model's greedy
+merging gives: the least key that can be merged always is. (A piece whose merges don't come in the order of
+their priorities takes part with its last one.)
 """
 
 from __future__ import annotations
@@ -13,30 +18,39 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, keep_freed_memory, map_arrow, materialize, small_batches, texts, to_batch
+from .common import arrow_schema, keep_freed_memory, materialize, publish, raw, setting, small_batches, texts, to_batch
 
 #: SentencePiece's stand-in for a blank, and the kinds of pieces and models of its file format (fixed values).
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: A fold keeps its boundaries in the bits of a long; longer units are folded outside.
-MASK_CHARS = 62
-#: Dictionary entries that go to every executor take so many bytes at most; rarer units are joined.
+#: A lattice of so many characters and edges at most has its merge sets in the bits of a long, others in arrays.
+BITS = 62
+#: A merge key: priority, position (32 bits) and length (8 bits).
+LENGTH_BITS, POSITION_BITS = 8, 32
+#: Dictionary entries that executors map from one file take so many bytes at most; rarer units are joined.
 HEAD_BYTES = 96 << 20
 #: A task hands its distinct units on when it holds so many.
 UNITS = 400_000
-CACHE = 150_000
+#: Cached chunks in each of two generations, per Python worker, and the characters that one may have.
+CACHE, CACHED_CHARS = 120_000, 40
+#: Texts are gathered to so many characters before they are split.
+GATHER = 8 << 20
 #: Units of one lattice task: bounds the edges that it holds.
-PART_UNITS = 40_000
+PART_UNITS = 20_000
+#: Latin units over this length are cut wherever no piece has both neighbours.
+LONG_UNIT = 32
 #: Score of an unknown character in a unigram lattice, below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -129,10 +143,78 @@ def unit_pattern(vocabulary: Vocabulary) -> re.Pattern:
     return re.compile(r".+", re.S)
 
 
-def units_of(text: str, pattern: re.Pattern, prefix: bool) -> list[str]:
-    if not text:
-        return []
-    return pattern.findall((BLANK if prefix else "") + text.replace(" ", BLANK))
+class Splitter:
+    """Cuts texts into units."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.prefix = BLANK if vocabulary.dummy_prefix else ""
+        self.find = unit_pattern(vocabulary).findall
+        self.pairs = {p[i : i + 2] for j in vocabulary.plain for p in [vocabulary.pieces[j]] for i in range(len(p) - 1)}
+        self.latin = re.compile(rf"[{LATIN}]").match
+
+    def text(self, text: str) -> list[str]:
+        return self.chunk(self.prefix + text.replace(" ", BLANK)) if text else []
+
+    def chunk(self, marked: str) -> list[str]:
+        """Units of text whose blanks are marked."""
+        out = self.find(marked)
+        if any(len(u) > LONG_UNIT or (len(u) > 1 and not self.latin(u[-1])) for u in out):
+            return [x for u in out for x in self.cut(u)]
+        return out
+
+    def cut(self, unit: str) -> list[str]:
+        """Where no piece has a character and the next one, no piece crosses."""
+        if len(unit) < 2 or (len(unit) <= LONG_UNIT and self.latin(unit[-1])):
+            return [unit]
+        at = [i + 1 for i in range(len(unit) - 1) if unit[i : i + 2] not in self.pairs]
+        return [unit[i:j] for i, j in zip([0, *at], [*at, len(unit)], strict=True)]
+
+
+def units_of(text: str, vocabulary: Vocabulary) -> list[str]:
+    return Splitter(vocabulary).text(text)
+
+
+class Words:
+    """A column of texts as codes of distinct words: ``words``, ``codes`` and the words of each text, ``counts``.
+
+    Only texts whose blanks stand alone between words are cut that way; ``odd`` has the places of the others,
+    which count as having no words here.
+    """
+
+    def __init__(self, column: pa.Array, prefix: str) -> None:
+        plain = pc.fill_null(column, "")
+        odd = pc.match_substring_regex(plain, f"^ |  | $|{BLANK}")
+        if not prefix:
+            odd = pa.array(np.ones(len(plain), bool))
+        self.odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        lists = pc.split_pattern(pc.if_else(odd, "", plain), " ")
+        found = lists.flatten().dictionary_encode()
+        self.words = found.dictionary.to_pylist()
+        self.codes = found.indices.to_numpy()
+        self.counts = np.diff(lists.offsets.to_numpy())
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until ``column`` has ``GATHER`` bytes: what is worked on depends on sizes alone."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= GATHER:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def valid(column: pa.Array) -> pa.Array:
+    """The column with U+FFFD for bytes that aren't UTF-8."""
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()], pa.string())
+    return column
 
 
 def distinct_units(docs: DataFrame, path: str) -> DataFrame:
@@ -140,12 +222,19 @@ def distinct_units(docs: DataFrame, path: str) -> DataFrame:
     out = arrow_schema("unit string, n long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load(path)
-        pattern = unit_pattern(vocabulary)
+        keep_freed_memory()
+        splitter = Splitter(load(path))
         held: Counter[str] = Counter()
-        for b in batches:
-            for t in texts(b.column(0)):
-                held.update(units_of(t, pattern, vocabulary.dummy_prefix))
+        for b in gathered(batches, 0):
+            column = valid(b.column(0))
+            found = Words(column, splitter.prefix)
+            times = np.bincount(found.codes, minlength=len(found.words)).tolist()
+            for word, n in zip(found.words, times, strict=True):
+                if word:
+                    for u in splitter.chunk(splitter.prefix + word):
+                        held[u] += n
+            for i in found.odd:
+                held.update(splitter.text(column[i].as_py() or ""))
             if len(held) >= UNITS:
                 yield to_batch({"unit": list(held), "n": list(held.values())}, out)
                 held.clear()
@@ -160,353 +249,475 @@ def distinct_units(docs: DataFrame, path: str) -> DataFrame:
 # --- the lattice -----------------------------------------------------------------------------------------
 
 
-def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    """``piece, id, score, rank``; as long as the vocabulary. rank: merge priority, equal for equal scores."""
-    ids = vocabulary.plain
-    order = {x: r for r, x in enumerate(sorted({-vocabulary.scores[i] for i in ids}))}
-    rows = [(vocabulary.pieces[i], i, vocabulary.scores[i], order[-vocabulary.scores[i]]) for i in ids]
-    return spark.createDataFrame(rows, "piece string, id int, score double, rank int")
-
-
-_EDGE = ("i", "k", "id", "inner", "ends", "score")
-
+def merges(piece: str, ranks: dict[str, int]) -> list[tuple[int, int, str]]:
+    """(rank, position, result) of each merge that BPE makes in ``piece``, in order."""
+    symbols = [(i, c) for i, c in enumerate(piece)]
+    out = []
+    while True:
+        joined = ((a[1] + b[1], j) for j, (a, b) in enumerate(zip(symbols, symbols[1:])))  # noqa: B905
+        best = min(((ranks[m], symbols[j][0], j, m) for m, j in joined if m in ranks), default=None)
+        if best is None:
+            return out
+        rank, at, j, m = best
+        out.append((rank, at, m))
+        symbols[j : j + 2] = [(at, m)]
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of equal, adjacent ``u`` as one row with lists, each unit's edges in the order (rank, i)."""
 
-    def close(b: pa.RecordBatch, cuts: np.ndarray, end: int) -> pa.RecordBatch:
-        b = b.slice(0, end)
-        order = pa.array(np.lexsort([b.column(i).to_numpy() for i in (4, 3, 0)]))
-        offsets = pa.array(np.append(cuts, end).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, b.column(i).take(order)) for i in range(4, b.num_columns)]
-        first = pa.array(cuts)
-        return pa.RecordBatch.from_arrays([b.column(1).take(first), b.column(2).take(first), *lists], ["unit", "n", *b.schema.names[4:]])
+def merge_keys(vocabulary: Vocabulary) -> dict[str, list[int]]:
+    """For each piece of a BPE model the keys of the merges that build it, its own last; position 0 is its start.
 
-    rest: pa.RecordBatch | None = None
-    for b in batches:
-        if rest is not None:
-            b = pa.concat_batches([rest, b])
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(b.column(0).to_numpy())) + 1))
-        last = int(cuts[-1])
-        if last:  # the last unit may go on in the next batch
-            yield close(b, cuts[:-1], last)
-        rest = b.slice(last)
-    if rest is not None and rest.num_rows:
-        yield close(rest, np.zeros(1, np.int64), rest.num_rows)
-
-
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``unit, n, edges``: (i, k, id, inner, ends, score) of every piece at position i of k characters, by merge
-    priority and position.
-
-    ``inner`` and ``ends`` are the boundary bits between and around the piece. Single characters are edges even
-    without a piece, with a null id. A unit's substrings stay together in its task, so the edges are grouped
-    there, run by run, and only the units themselves are shuffled.
+    Pieces that the model's merges can't build are missing: they are in no text's ids.
     """
-    starts = units.withColumn("u", F.monotonically_increasing_id()).select("u", "unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("i"))
-    spans = starts.select("u", "unit", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("i")))).alias("k"))
-    subs = spans.select("u", "unit", "n", "i", "k", F.substring("unit", F.col("i") + 1, F.col("k")).alias("piece"))
-    found = subs.join(F.broadcast(pieces), "piece", "left").filter(F.col("id").isNotNull() | (F.col("k") == 1))
-    left = lambda x, n: F.call_function("shiftleft", x, n)
-    one = F.lit(1).cast("long")
-    inner = left(left(one, F.col("k") - 1) - 1, F.col("i") + 1)
-    ends = left(one, F.col("i")).bitwiseOR(left(one, F.col("i") + F.col("k")))
-    rank = F.coalesce("rank", F.lit((1 << 31) - 1))
-    rows = found.select("u", "unit", "n", rank.alias("rank"), "i", "k", "id", inner.alias("inner"), ends.alias("ends"), "score")
-    lists = "i array<int>, k array<int>, id array<int>, inner array<long>, ends array<long>, score array<double>"
-    grouped = rows.mapInArrow(_runs, f"unit string, n long, {lists}")
-    return grouped.select("unit", "n", F.arrays_zip(*_EDGE).alias("edges"))
+    ranks = {vocabulary.pieces[i]: -vocabulary.scores[i] for i in vocabulary.plain}
+    built = {p: m for p in ranks if not (m := merges(p, ranks)) or m[-1][2] == p}
+    # a merge of better rank than one before it comes right after that one
+    late = {p: (max(x[0] for x in m), len(m) - 1 - max(range(len(m)), key=lambda i: m[i][0])) for p, m in built.items() if m}
+    late = {p: (r, after if r != ranks[p] else 0) for p, (r, after) in late.items()}
+    order = {x: i for i, x in enumerate(sorted(set(late.values())))}
+    if len(order) >> (BITS - POSITION_BITS - LENGTH_BITS) or max(map(len, built), default=0) >> LENGTH_BITS:
+        raise ValueError("the vocabulary has too many or too long pieces")
+    key = lambda at, p: (order[late[p]] << POSITION_BITS | at) << LENGTH_BITS | len(p)
+    return {p: sorted(key(at, x) for _, at, x in m) for p, m in built.items() if len(p) == 1 or m}
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """``piece, id, score, keys``; as long as the vocabulary. keys: see ``merge_keys``; a piece's own is the last."""
+    if vocabulary.model_type == BPE:
+        keys = merge_keys(vocabulary)
+    else:
+        keys = {vocabulary.pieces[i]: [] for i in vocabulary.plain}
+    rows = [(p, i, vocabulary.scores[i], keys[p]) for i in vocabulary.plain if (p := vocabulary.pieces[i]) in keys]
+    return spark.createDataFrame(rows, "piece string, id int, score double, keys array<long>")
 
 
-def merge_cuts(n: Column) -> Column:
-    return _let(F.filter("edges", lambda e: e["k"] > 1), lambda multi: _merged(n, multi))
+def lattice(units: DataFrame, pieces: DataFrame, longest: int, byte_ids: list[int], unknown: float) -> DataFrame:
+    """``unit, n, edges``: (key, i, end, ids, score, keys) of every piece from position i to end.
 
+    Single characters are edges even without a piece, with the ids of their bytes and the score ``unknown``; their
+    key is beyond all others and follows the position. ``units`` is dealt by unit, and substrings and the broadcast
+    join keep that, so the edges are grouped without a shuffle.
+    """
+    ends = units.select("unit", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("end"))
+    spans = ends.select("unit", "n", "end", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), "end"))).alias("k"))
+    i = F.col("end") - F.col("k")
+    subs = spans.select("unit", "n", "end", "k", F.substring("unit", i + 1, F.col("k")).alias("piece"))
+    found = subs.join(F.broadcast(pieces), "piece", "left").filter(F.col("id").isNotNull() | (F.col("k") == 1))
+    table = F.array(*map(F.lit, byte_ids))
+    code = F.hex(F.encode("piece", "utf-8"))
+    of_bytes = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda b: F.element_at(table, F.conv(F.substring(code, b, F.lit(2)), 16, 10).cast("int") + 1))
+    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(of_bytes)
+    own = _shift(i, LENGTH_BITS) + F.element_at("keys", -1)
+    key = F.when(F.col("k") == 1, F.lit(1 << BITS) + F.col("end")).otherwise(F.when(F.size("keys") > 0, own).otherwise(F.lit(0).cast("long")))
+    edge = F.struct(
+        key.alias("key"), i.alias("i"), "end", ids.alias("ids"), F.coalesce("score", F.lit(unknown)).alias("score"),
+        F.when(F.col("k") == 1, F.array().cast("array<long>")).otherwise(F.col("keys")).alias("keys"),
+    )
+    return found.select("unit", "n", edge.alias("edge")).groupBy("unit", "n").agg(F.collect_list("edge").alias("edges"))
 
-def _merged(n: Column, multi: Column) -> Column:
-    """Boundary bits after all BPE merges: again and again the first edge, by priority and then position, whose
-    two halves are symbols now. The sign bit marks that nothing merges any more."""
-    done = F.lit(-(1 << 63))
 
-    def step(cuts: Column, _: Column) -> Column:
-        def first(found: Column, e: Column) -> Column:
-            fits = (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
-            return F.when(found != 0, found).when(fits, e["inner"]).otherwise(found)
+def _shift(value: Column, bits: int) -> Column:
+    return F.call_function("shiftleft", value.cast("long"), F.lit(bits))
 
-        best = F.aggregate(multi, F.lit(0).cast("long"), first)
-        merged = _let(best, lambda f: F.when(f == 0, cuts.bitwiseOR(done)).otherwise(cuts.bitwiseAND(F.bitwise_not(f))))
-        return F.when(cuts < 0, cuts).otherwise(merged)
 
-    whole = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-    cuts = F.aggregate(F.sequence(F.lit(1), n), F.when(n >= MASK_CHARS, F.lit((1 << (MASK_CHARS + 1)) - 1)).otherwise(whole), step)
-    return cuts.bitwiseAND(F.bitwise_not(done))
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def viterbi_cuts(n: Column, unknown: float) -> Column:
-    """Boundary bits of the path with the best sum of scores; ties take the longer last piece.
+def viterbi_bits(n: Column) -> Column:
+    """Ids of the best path of a BPE lattice of ``BITS`` characters and longer edges at most.
 
-    The fold carries, for each position, the best score and the path's boundary bits.
+    The merges of all edges are the longer edges themselves, so the j-th least key is bit ``BITS - j``: a path's
+    score is the sum of its edges' bits, and the greatest sum is the best path. The sum tells which merges
+    were made, and with them the path.
     """
-    state = "struct<score:double,cuts:bigint>"
-    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.cast("int"))
 
-    def step(acc: Column, end: Column) -> Column:
-        into = F.filter("edges", lambda e: (e["i"] + e["k"] == end) & e["id"].isNotNull())
+    def solve(edges: Column) -> Column:
+        return _let(F.slice(edges, F.lit(1), F.size(edges) - n), lambda longer: _let(F.transform(longer, lambda e: e["key"]), lambda keys: scored(edges, longer, keys)))
 
-        def path(i: Column, score: Column, k: Column) -> Column:
-            before = F.element_at(acc, i + 1)
-            return F.struct((before["score"] + score).alias("score"), k.alias("k"), before["cuts"].bitwiseOR(bit(end)).alias("cuts"))
+    def scored(edges: Column, longer: Column, keys: Column) -> Column:
+        bit = lambda at: F.call_function("shiftright", F.lit(1 << BITS), at.cast("int"))
 
-        known = F.transform(into, lambda e: path(e["i"], e["score"], e["k"]))
-        alone = F.array(path(end - 1, F.lit(unknown), F.lit(1)))
-        paths = F.when(F.exists(into, lambda e: e["id"].isNotNull() & (e["k"] == 1)), known).otherwise(F.concat(known, alone))
-        best = _let(F.array_max(paths), lambda b: F.struct(b["score"].alias("score"), b["cuts"].alias("cuts")).cast(state))
-        return F.concat(acc, F.array(best))
+        def score(e: Column) -> Column:
+            shift = _shift(e["i"], LENGTH_BITS)
+            return F.aggregate(e["keys"], F.lit(0).cast("long"), lambda a, k: a + bit(F.array_position(keys, k + shift)))
 
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("cuts")).cast(state))
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)["cuts"]
+        arcs = F.transform(longer, lambda e: F.struct(e["i"].alias("i"), e["end"].alias("end"), score(e).alias("score")))
+        return _let(arcs, lambda a: _let(best(a), lambda made: ids(edges, keys, longer, made, bit)))
 
+    def best(arcs: Column) -> Column:
+        def step(acc: Column, end: Column) -> Column:
+            over = lambda m, a: F.when(a["end"] == end, F.greatest(m, F.element_at(acc, a["i"] + 1) + a["score"])).otherwise(m)
+            return F.concat(acc, F.array(F.aggregate(arcs, F.element_at(acc, end), over)))
 
-def cut_ids(cuts: Column, byte_ids: list[int]) -> Column:
-    """Ids of the pieces between the boundaries: edges with a boundary at both ends and none within.
+        return F.element_at(F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0).cast("long")), step), -1)
 
-    A character without a piece gives the ids of its bytes.
-    """
-    table = F.array(*map(F.lit, byte_ids))
+    def ids(edges: Column, keys: Column, longer: Column, made: Column, bit) -> Column:
+        within = lambda e: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), e["end"] - e["i"] - 1) - 1, e["i"] + 1)
+        done = F.filter(longer, lambda e, j: made.bitwiseAND(bit(j + 1)) != 0)
+        covered = lambda d: F.aggregate(d, F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(within(e)))
+        at = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p)
 
-    def bytes_(e: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col("unit"), e["i"] + 1, e["k"]), "utf-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda b: F.element_at(table, F.conv(F.substring(code, b, F.lit(2)), 16, 10).cast("int") + 1))
+        def pick(d: Column, m: Column) -> Column:
+            every = F.concat(d, F.slice(edges, F.size(longer) + 1, n))
+            top = F.filter(every, lambda e: m.bitwiseAND(at(e["i"]).bitwiseOR(at(e["end"]))) == 0)
+            return F.flatten(F.transform(F.sort_array(F.transform(top, lambda e: F.struct(e["i"].alias("i"), e["ids"].alias("ids")))), lambda e: e["ids"]))
 
-    picked = F.filter("edges", lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (cuts.bitwiseAND(e["inner"]) == 0))
-    placed = F.sort_array(F.transform(picked, lambda e: F.struct(e["i"].alias("i"), e["k"].alias("k"), e["id"].alias("id"))))
-    return F.flatten(F.transform(placed, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(bytes_(e))))
+        return _let(done, lambda d: _let(covered(d), lambda m: pick(d, m)))
 
+    return _let(F.sort_array("edges"), solve)
 
-def dictionary(units: DataFrame, vocabulary: Vocabulary, path: str | None = None) -> DataFrame:
-    """``unit, n, ids`` for every unit of ``units`` (unit, n).
 
-    Units of more than ``MASK_CHARS`` characters, which no long's bits hold, are encoded by the library.
+def viterbi_any(longest: int, bpe: bool) -> Column:
+    """Ids of the best path of a lattice of any size; unigram ties take the longer last piece.
+
+    The fold goes over the edges by their ends and carries the last ``longest`` + 1 positions with the cost and the
+    path to each. What all their paths begin with is settled and leaves the state, merges included.
     """
+    cost = "array<bigint>" if bpe else "double"
+    entry = f"struct<end:int,cost:{cost},path:array<struct<end:int,ids:array<int>>>>"
+    state = f"struct<done:array<int>,window:array<{entry}>>"
+    zero = F.array(F.lit((1 << 63) - 1)) if bpe else F.lit(0.0)
+    nothing = F.array().cast("array<struct<end:int,ids:array<int>>>")
+    start = F.struct(F.array().cast("array<int>").alias("done"), F.array(F.struct(F.lit(0).alias("end"), zero.alias("cost"), nothing.alias("path"))).alias("window")).cast(state)
+
+    def add(before: Column, e: Column) -> Column:
+        if not bpe:
+            return before - e["score"]
+        shift = _shift(e["i"], LENGTH_BITS)
+        return F.when(F.size(e["keys"]) == 0, before).otherwise(F.sort_array(F.concat(before, F.transform(e["keys"], lambda k: k + shift))))
+
+    def extend(before: Column, e: Column) -> Column:
+        last = F.struct(e["end"].alias("end"), e["ids"].alias("ids"))
+        return F.struct(e["end"].alias("end"), add(before["cost"], e).alias("cost"), F.concat(before["path"], F.array(last)).alias("path")).cast(entry)
+
+    def settle(done: Column, window: Column) -> Column:
+        def cut(x: Column, end: Column) -> Column:
+            rest = x["cost"]
+            if bpe:
+                position = lambda k: F.call_function("shiftright", k, F.lit(LENGTH_BITS)).bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
+                rest = F.filter(rest, lambda k: (k == (1 << 63) - 1) | (position(k) >= end))
+            return F.struct(x["end"].alias("end"), rest.alias("cost"), F.slice(x["path"], F.lit(2), F.size(x["path"])).alias("path")).cast(entry)
+
+        def first(head: Column) -> Column:
+            same = F.forall(window, lambda x: F.coalesce(F.get(x["path"], F.lit(0))["end"] == head["end"], F.lit(False)))
+            settled = F.struct(F.concat(done, head["ids"]).alias("done"), F.transform(window, lambda x: cut(x, head["end"])).alias("window"))
+            return F.when(same, settled.cast(state)).otherwise(F.struct(done.alias("done"), window.alias("window")).cast(state))
+
+        return _let(F.get(F.element_at(window, 1)["path"], F.lit(0)), first)
+
+    def step(acc: Column, e: Column) -> Column:
+        window = acc["window"]
+        last = F.element_at(window, -1)
+
+        def take(c: Column) -> Column:
+            kept = F.slice(window, F.greatest(F.lit(1), F.size(window) - longest + 1), F.lit(longest))
+            better = F.concat(F.slice(window, F.lit(1), F.size(window) - 1), F.array(c))
+            same_end = F.struct(acc["done"].alias("done"), F.when(c["cost"] < last["cost"], better).otherwise(window).alias("window")).cast(state)
+            return F.when(e["end"] == last["end"], same_end).otherwise(_let(F.concat(kept, F.array(c)), lambda w: settle(acc["done"], w)))
+
+        return _let(extend(F.element_at(window, F.size(window) - (last["end"] - e["i"])), e), take)
+
+    def finish(acc: Column) -> Column:
+        return F.concat(acc["done"], F.flatten(F.transform(F.element_at(acc["window"], -1)["path"], lambda p: p["ids"])))
+
+    by_end = F.sort_array(F.transform("edges", lambda e: F.struct(*(e[x].alias(x) for x in ("end", "i", "ids", "score", "keys")))))
+    return F.aggregate(by_end, start, step, finish)
+
+
+def dictionary(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``unit, n, ids`` for every unit of ``units`` (unit, n)."""
     spark = units.sparkSession
     longest = max((len(vocabulary.pieces[i]) for i in vocabulary.plain), default=1)
-    n = F.length("unit")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // PART_UNITS))
-    edges = lattice(units.filter(n <= MASK_CHARS).repartition(parts, "unit"), piece_table(spark, vocabulary), longest)
     unknown = min((vocabulary.scores[i] for i in vocabulary.plain), default=0.0) - UNKNOWN_PENALTY
-    cuts = merge_cuts(n) if vocabulary.model_type == BPE else viterbi_cuts(n, unknown)
-    rows = edges.select("unit", "n", "edges", cuts.alias("cuts")).select("unit", "n", cut_ids(F.col("cuts"), vocabulary.byte_ids).alias("ids"))
-    if path is None:
-        return rows
-
-    def by_library(b: pa.RecordBatch) -> dict:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        # a line end is no part of any piece: what stands before the unit is cut off again
-        head = sp.encode("\n")
-        return {"unit": b.column(0), "n": b.column(1), "ids": [sp.encode("\n" + u)[len(head) :] for u in b.column(0).to_pylist()]}
-
-    long = map_arrow(units.filter(n > MASK_CHARS).select("unit", "n"), by_library, "unit string, n long, ids array<int>")
-    return rows.unionByName(long)
+    found = lattice(units.repartition(parts, "unit"), piece_table(spark, vocabulary), longest, vocabulary.byte_ids, unknown)
+    n = F.length("unit")
+    if vocabulary.model_type == BPE:
+        small = (n <= BITS) & (F.size("edges") - n <= BITS)
+        ids = F.when(small, viterbi_bits(n)).otherwise(viterbi_any(longest, True))
+    else:
+        ids = viterbi_any(longest, False)
+    return found.select("unit", "n", ids.alias("ids"))
 
 
 # --- encoding and decoding whole texts -------------------------------------------------------------------
 
 
 class Head:
-    """Dictionary entries in arrays: sorted digests, offsets, ids. Digests that two units share aren't in it."""
-
-    def __init__(self, digests: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+    """Dictionary entries, mapped from a file: sorted digests, ends and ids. Digests that units share aren't in it."""
+
+    def __init__(self, source: str | bytes) -> None:
+        data = np.memmap(source, np.uint8, "r") if isinstance(source, str) else np.frombuffer(source, np.uint8)
+        n, width = (int(x) for x in data[:16].view("<i8"))
+        self.digests = data[16 : 16 + 8 * n].view("<i8")
+        self.ends = data[16 + 8 * n : 24 + 16 * n].view("<i8")
+        self.ids = data[24 + 16 * n :]
+        self.dtype = np.dtype(f"<u{width}")
+
+    @staticmethod
+    def pack(digests: np.ndarray, ids: pa.BinaryArray, width: int) -> Iterator[bytes]:
         order = np.argsort(digests, kind="stable")
-        ends = np.cumsum(counts)
-        self.digests, self.ends, self.sizes, self.ids = digests[order], ends[order], counts[order], ids
+        yield np.array([len(order), width], "<i8").tobytes()
+        yield digests[order].astype("<i8").tobytes()
+        ids = ids.take(pa.array(order))
+        at = ids.offsets.to_numpy() if hasattr(ids, "offsets") else np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1]
+        yield at.astype("<i8").tobytes()
+        yield ids.buffers()[2].to_pybytes()[at[0] : at[-1]] if len(ids) else b""
 
     def find(self, units: list[str]) -> list[bytes | None]:
         import xxhash
 
-        d = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42) for u in units), np.uint64, len(units)).view(np.int64)
-        at = np.minimum(np.searchsorted(self.digests, d), max(0, len(self.digests) - 1))
         if not len(self.digests):
             return [None] * len(units)
+        d = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42) for u in units), np.uint64, len(units)).view(np.int64)
+        at = np.minimum(np.searchsorted(self.digests, d), len(self.digests) - 1)
         hit = self.digests[at] == d
-        ends, sizes, ids = self.ends[at], self.sizes[at], self.ids
-        return [ids[e - s : e].tobytes() if h else None for h, e, s in zip(hit.tolist(), ends.tolist(), sizes.tolist(), strict=True)]
+        starts, ends, ids = self.ends[at], self.ends[at + 1], self.ids
+        return [ids[s:e].tobytes() if h else None for h, s, e in zip(hit.tolist(), starts.tolist(), ends.tolist(), strict=True)]
 
 
-def head_entries(words: DataFrame, head_bytes: int) -> tuple[Head, int]:
-    """The most frequent entries that fit ``head_bytes``, and the least count of an entry in it.
+def publish_head(words: DataFrame, head_bytes: int, n_ids: int) -> tuple[str, int]:
+    """Publish the most frequent entries that fit ``head_bytes``; the file's name and the least count of an entry in it.
 
     Ranks of counts come from a histogram of logarithmic buckets, whose number does not grow.
     """
+    spark = words.sparkSession
+    width = 2 if n_ids <= 1 << 16 else 4
     bucket = F.floor(F.log2(F.col("n")) * 4)
-    rows = words.groupBy(bucket.alias("b")).agg(F.sum(20 + 2 * F.size("ids")).alias("bytes"), F.min("n").alias("n")).collect()
-    least, used = None, 0
+    rows = words.groupBy(bucket.alias("b")).agg(F.sum(20 + width * F.size("ids")).alias("bytes"), F.min("n").alias("n")).collect()
+    least, used = 1 << 62, 0
     for r in sorted(rows, key=lambda r: -r["b"]):
         used += r["bytes"]
         if used > head_bytes:
             break
         least = r["n"]
-    if least is None:
-        return Head(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)), 1 << 62
     keyed = words.select(F.xxhash64("unit").alias("d"), "n", "ids")
     shared = keyed.groupBy("d").agg(F.count("*").alias("c")).filter("c > 1").select("d")
-    picked = keyed.filter(F.col("n") >= least).join(F.broadcast(shared) if shared.isEmpty() else shared, "d", "left_anti")
-    got = picked.select("d", "ids").toArrow()  # head_bytes at most
-    ids = got.column("ids").combine_chunks()
-    ids = ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-    counts = np.diff(ids.offsets.to_numpy())
-    dtype = np.uint16 if len(counts) == 0 or ids.flatten().to_numpy().max(initial=0) < 1 << 16 else np.uint32
-    return Head(got.column("d").to_numpy().astype(np.int64), counts.astype(np.int64), ids.flatten().to_numpy().astype(dtype)), least
+    shared = materialize(shared, "shared-digests")
+    picked = keyed.filter(F.col("n") >= least)
+    if not shared.isEmpty():
+        picked = picked.join(shared, "d", "left_anti")
+    schema = "d long, ids binary"
+    arrow = arrow_schema(schema)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(1)
+            flat = ids.flatten().to_numpy(zero_copy_only=False).astype(f"<u{width}").tobytes()
+            at = ((ids.offsets.to_numpy() - ids.offsets[0].as_py()) * width).astype(np.int32)
+            yield to_batch({"d": b.column(0), "ids": pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at), pa.py_buffer(flat)])}, arrow)
+
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "20000"):
+        got = picked.select("d", "ids").mapInArrow(narrow, schema).toArrow()  # head_bytes at most
+    ids = got.column("ids").combine_chunks() if got.num_rows else pa.array([], pa.binary())
+    ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+    return publish(spark, Head.pack(got.column("d").to_numpy().astype(np.int64), ids, width), "pieces"), least
 
 
 class Decoder:
+    """Bytes of ids; a whole batch at once."""
+
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.prefix = vocabulary.dummy_prefix
-        self.bytes = [
-            bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k in (CONTROL,) else p.replace(BLANK, " ").encode()
-            for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)
-        ]
+        self.bytes = pa.array(
+            [
+                bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(BLANK, " ").encode()
+                for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)
+            ],
+            pa.binary(),
+        )
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of consecutive ids that end at ``ends``; the blank that encoding puts first goes again."""
+        joined = self.bytes.take(pa.array(ids.astype(np.int32)))
+        _, offsets, data = joined.buffers()
+        at = np.frombuffer(offsets, np.int32)[np.concatenate(([0], ends))].tolist() if len(ids) else [0] * (len(ends) + 1)
+        data = memoryview(data) if data is not None else memoryview(b"")
+        texts = [str(data[s:e], "utf-8", "replace") for s, e in zip(at[:-1], at[1:], strict=True)]
+        return [t[1:] if self.prefix and t[:1] == " " else t for t in texts]
+
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+#: What a batch of texts gives: ids of all, the ends of each text's, the decoded texts.
+Derived = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, list[str]], dict]
 
 
+def _everything(b: pa.RecordBatch, ids: np.ndarray, ends: np.ndarray, decoded: list[str]) -> dict:
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+    return {"doc_id": b.column(0), "th": b.column(1), "text": b.column(2), "n_tokens": np.diff(ends, prepend=0), "ids": lists, "decoded": decoded}
 
 
-def encode_decode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES) -> DataFrame:
+ENCODED = "doc_id long, th long, text string, n_tokens long, ids array<int>, decoded string"
+
+
+def encode_decode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, columns: Derived = _everything, schema: str = ENCODED) -> DataFrame:
     """``doc_id, th, text, n_tokens, ids, decoded`` for every row of ``docs`` (doc_id, text); th is a hash of the text.
 
     ids are those of the model's own encoder without special ids; decoded is the text made from them again: the
     text itself, but for U+2581, which stands for a blank. Null and empty texts have no ids and decode to an
     empty text. Repeated rows get a row each. Empty table: no rows. Other columns are not read. Texts of any
-    length are used whole.
+    length are used whole; the edges of one unit (a run of letters, say) are gathered in one task. ``columns``
+    and ``schema`` have other columns derived from a batch's ids and decoded texts where they are made.
     """
     spark = docs.sparkSession
     vocabulary = load(path)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    found = dictionary(distinct_units(picked, path), vocabulary, path)
-    rows_conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows_conf)
-    spark.conf.set(rows_conf, "20000")  # edges are narrow rows
-    try:
-        words = materialize(found, "piece-dictionary")
-    finally:
-        spark.conf.set(rows_conf, before)
-    head, least = head_entries(words, head_bytes)
-    shared = spark.sparkContext.broadcast(head)
-    has_tail = not words.filter((F.col("n") < least)).isEmpty() or least == 1 << 62
-    tail_rows = None
-    if has_tail or _collides(words):
-        missing = picked.mapInArrow(_missing(path, shared), "doc_id long, th long, unit string").distinct()
+    words = materialize(dictionary(distinct_units(picked, path), vocabulary), "piece-dictionary")
+    name, least = publish_head(words, head_bytes, len(vocabulary.pieces))
+    shared = words.groupBy(F.xxhash64("unit").alias("d")).agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    if shared.filter((F.col("c") > 1) | (F.col("n") < least)).isEmpty():
+        picked = picked.select("*", F.lit(None).cast("array<string>").alias("units"), F.lit(None).cast("array<array<int>>").alias("unit_ids"))
+    else:
+        missing = picked.mapInArrow(_missing(path, name), "doc_id long, th long, unit string").distinct()
         pairs = missing.join(words.select("unit", "ids"), "unit").groupBy("doc_id", "th")
         tail_rows = pairs.agg(F.collect_list(F.struct("unit", "ids")).alias("own")).withColumnsRenamed({"doc_id": "__millrace_id", "th": "__millrace_th"})
         picked = picked.join(tail_rows, F.col("doc_id").eqNullSafe(F.col("__millrace_id")) & (F.col("th") == F.col("__millrace_th")), "left").select(
             "doc_id", "th", "text", F.col("own.unit").alias("units"), F.col("own.ids").alias("unit_ids")
         )
-    else:
-        picked = picked.select("*", F.lit(None).cast("array<string>").alias("units"), F.lit(None).cast("array<array<int>>").alias("unit_ids"))
-    schema = "doc_id long, th long, text string, n_tokens long, ids array<int>, decoded string"
     arrow = arrow_schema(schema)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
-        book = _Book(path, shared.value)
-        decoder = Decoder(vocabulary)
-        for b in batches:
-            rows = texts(b.column(2))
+        book, decoder = _book(path, name), Decoder(load(path))
+        for b in gathered(batches, 2):
             own = [dict(zip(u, i, strict=True)) if u else {} for u, i in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            ids = [x.astype(np.int32) for x in book.encode(rows, own)]
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            out = {
-                "doc_id": b.column(0), "th": b.column(1), "text": b.column(2), "n_tokens": np.diff(offsets).astype(np.int64),
-                "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "decoded": [decoder.decode(x.tolist()) for x in ids],
-            }
-            yield to_batch(out, arrow)
+            ids, ends = book.encode(valid(b.column(2)), own)
+            yield to_batch(columns(b, ids, ends, decoder.decode(ids, ends)), arrow)
 
     small_batches(spark)
     return picked.mapInArrow(encode, schema)
 
 
-def _collides(words: DataFrame) -> bool:
-    return not words.groupBy(F.xxhash64("unit")).agg(F.count("*").alias("c")).filter("c > 1").isEmpty()
+_books: dict[tuple[str, str], _Book] = {}
+
+
+def _book(path: str, name: str) -> _Book:
+    if (path, name) not in _books:
+        _books.clear()  # another run's cache isn't used again
+        _books[path, name] = _Book(path, Head(SparkFiles.get(name)))
+    return _books[path, name]
 
 
 class _Book:
-    """Ids of units from the head, cached in two generations."""
+    """Ids of words from the head, cached in two generations."""
 
     def __init__(self, path: str, head: Head) -> None:
-        self.vocabulary = load(path)
-        self.pattern = unit_pattern(self.vocabulary)
-        self.head, self.young, self.old = head, {}, {}
-
-    def know(self, batch: list[list[str]]) -> None:
+        self.splitter = Splitter(load(path))
+        self.head = head
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def look_up(self, new: list[str]) -> Iterator[bytes | None]:
+        """Ids, as bytes, of words that follow a blank; None where a unit isn't in the head."""
+        parts = [self.splitter.chunk(self.splitter.prefix + w) if w else [] for w in new]
+        units = list({u for p in parts for u in p})
+        found = dict(zip(units, self.head.find(units), strict=True))
+        for p in parts:
+            x = [found[u] for u in p]
+            yield None if None in x else b"".join(x)
+
+    def words(self, words: list[str]) -> list[bytes | None]:
         young, old = self.young, self.old
-        new = {u for units in batch for u in units if u not in young}
-        if len(young) + len(new) > CACHE and young:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-            new = {u for units in batch for u in units}
+        out = list(map(young.get, words))
         ask = []
-        for u in new:
-            if (x := old.get(u)) is not None:
-                young[u] = x
-            else:
-                ask.append(u)
-        young.update(zip(ask, self.head.find(ask), strict=True))
-
-    def units(self, rows: list[str]) -> list[list[str]]:
-        return [units_of(t, self.pattern, self.vocabulary.dummy_prefix) for t in rows]
-
-    def encode(self, rows: list[str], own: list[dict[str, list[int]]]) -> list[np.ndarray]:
-        batch = self.units(rows)
-        self.know(batch)
-        get, dtype = self.young.__getitem__, self.head.ids.dtype
-        out = []
-        for units, more in zip(batch, own, strict=True):
-            if more:
-                parts = [np.array(more[u], dtype).tobytes() if u in more else get(u) for u in units]
-            else:
-                parts = list(map(get, units))
-            out.append(np.frombuffer(b"".join(parts), dtype))
+        for i, x in enumerate(out):
+            if x is None:
+                if (x := old.get(words[i])) is not None:
+                    out[i] = young[words[i]] = x
+                else:
+                    ask.append(i)
+        for at in range(0, len(ask), 20_000):
+            some = ask[at : at + 20_000]
+            for i, x in zip(some, self.look_up([words[i] for i in some]), strict=True):
+                out[i] = x
+                if x is not None and len(words[i]) <= CACHED_CHARS:
+                    young[words[i]] = x
+        if len(young) > CACHE:
+            self.old, self.young = young, {}
         return out
 
-
-def _missing(path: str, shared):
+    def encode(self, column: pa.Array, own: list[dict[str, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, joined, and where each text's end."""
+        found = Words(column, self.splitter.prefix)
+        known = self.words(found.words)
+        dtype = self.head.dtype
+        ends = np.cumsum(found.counts)
+        starts = ends - found.counts
+        gone = {i for i, x in enumerate(known) if x is None}
+        odd = set(found.odd)
+        if gone:
+            hit = np.isin(found.codes, list(gone))
+            odd.update(np.flatnonzero(np.add.reduceat(np.append(hit, False), starts) * (found.counts > 0)).tolist())
+        sizes = np.array([len(x) if x else 0 for x in known], np.int64)
+        upto = np.concatenate(([0], np.cumsum(sizes[found.codes])))
+        data = pa.array(known, pa.binary()).take(pa.array(found.codes)).buffers()[2]
+        data = memoryview(data) if data is not None else memoryview(b"")
+        if not odd:
+            return np.frombuffer(data[: upto[-1]], dtype), upto[ends] // dtype.itemsize
+        parts = [data[s:e] for s, e in zip(upto[starts].tolist(), upto[ends].tolist(), strict=True)]
+        for i in odd:
+            parts[i] = self.whole(column[i].as_py() or "", own[i], dtype)
+        lengths = np.array([len(p) for p in parts], np.int64) // dtype.itemsize
+        return np.frombuffer(b"".join(parts), dtype), np.cumsum(lengths)
+
+    def whole(self, text: str, own: dict[str, list[int]], dtype: np.dtype) -> bytes:
+        """Ids of a text whose blanks or rare units need more care; ``own`` has the units that the head lacks."""
+        units = self.splitter.text(text)
+        names = list(set(units) - own.keys())
+        found = dict(zip(names, self.head.find(names), strict=True))
+        found |= {u: np.array(x, dtype).tobytes() for u, x in own.items()}
+        return b"".join([found[u] for u in units])
+
+
+def _missing(path: str, name: str):
     arrow = arrow_schema("doc_id long, th long, unit string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = _Book(path, shared.value)
-        for b in batches:
-            batch = book.units(texts(b.column(2)))
-            book.know(batch)
+        book = _book(path, name)
+        for b in gathered(batches, 2):
+            column = valid(b.column(2))
+            found = Words(column, book.splitter.prefix)
+            gone = np.flatnonzero([x is None for x in book.words(found.words)])
+            rare: dict[int, list[str]] = {}
+            for c in gone.tolist():
+                units = book.splitter.chunk(book.splitter.prefix + found.words[c])
+                rare[c] = [u for u, x in zip(units, book.head.find(units), strict=True) if x is None]
             out: dict[str, list] = {"doc_id": [], "th": [], "unit": []}
-            for i, th, units in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), batch, strict=True):
-                for u in set(units):
-                    if book.young[u] is None:
-                        out["doc_id"].append(i)
-                        out["th"].append(th)
-                        out["unit"].append(u)
+            ids, hashes = b.column(0).to_pylist(), b.column(1).to_pylist()
+
+            def tell(i: int, units: set[str]) -> None:
+                out["doc_id"] += [ids[i]] * len(units)
+                out["th"] += [hashes[i]] * len(units)
+                out["unit"] += units
+
+            row = np.repeat(np.arange(len(found.counts)), found.counts)
+            hit = np.isin(found.codes, gone)
+            own: dict[int, set[str]] = {}
+            for i, c in zip(row[hit].tolist(), found.codes[hit].tolist(), strict=True):
+                own.setdefault(i, set()).update(rare[c])
+            for i in found.odd:
+                units = list(set(book.splitter.text(column[i].as_py() or "")))
+                own[i] = {u for u, x in zip(units, book.head.find(units), strict=True) if x is None}
+            for i, units in own.items():
+                tell(i, units)
             yield to_batch(out, arrow)
 
     return run
 
 
-def _checks(b: pa.RecordBatch) -> dict:
-    ids = b.column(2)
-    flat, at = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-    crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    return {"doc_id": b.column(0), "n_tokens": b.column(1), "ids_crc32": crc, "decoded_sha256": b.column(3), "round_trip": b.column(4)}
+def _digests(b: pa.RecordBatch, ids: np.ndarray, ends: np.ndarray, decoded: list[str]) -> dict:
+    from hashlib import sha256
+
+    flat = ids.astype("<u4")
+    at = np.concatenate(([0], ends)).tolist()
+    return {
+        "doc_id": b.column(0), "n_tokens": np.diff(ends, prepend=0),
+        "ids_crc32": [zlib.crc32(flat[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)],
+        "decoded_sha256": [sha256(x.encode()).hexdigest() for x in decoded],
+        "round_trip": [x.encode() == y for x, y in zip(decoded, raw(b.column(2)), strict=True)],
+    }
 
 
 def op7(documents: DataFrame, path: str) -> DataFrame:
-    found = encode_decode(documents, path)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    shown = found.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
-    return map_arrow(shown, _checks, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+    return encode_decode(documents, path, columns=_digests, schema=schema)
