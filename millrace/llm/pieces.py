@@ -20,7 +20,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +41,6 @@ BITS = 62
 LENGTH_BITS, POSITION_BITS = 8, 32
 #: Dictionary entries that executors map from one file take so many bytes at most; rarer units are joined.
 HEAD_BYTES = 96 << 20
-#: A task hands its distinct units on when it holds so many.
-UNITS = 400_000
-#: Cached chunks in each of two generations, per Python worker, and the characters that one may have.
-CACHE, CACHED_CHARS = 120_000, 40
 #: Texts are gathered to so many characters before they are split.
 GATHER = 8 << 20
 #: Units of one lattice task: bounds the edges that it holds.
@@ -149,49 +145,61 @@ class Splitter:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.prefix = BLANK if vocabulary.dummy_prefix else ""
         self.find = unit_pattern(vocabulary).findall
-        self.pairs = {p[i : i + 2] for j in vocabulary.plain for p in [vocabulary.pieces[j]] for i in range(len(p) - 1)}
-        self.latin = re.compile(rf"[{LATIN}]").match
+        pairs = {p[i : i + 2] for j in vocabulary.plain for p in [vocabulary.pieces[j]] for i in range(len(p) - 1)}
+        latin = re.compile(rf"[{LATIN}]").match
+
+        @lru_cache(maxsize=20_000)
+        def cut(unit: str) -> tuple[str, ...]:
+            """Where no piece has a character and the next one, no piece crosses."""
+            at = [i + 1 for i in range(len(unit) - 1) if unit[i : i + 2] not in pairs]
+            return tuple(unit[i:j] for i, j in zip([0, *at], [*at, len(unit)], strict=True))
+
+        self.cut = cut
+        self.letters = {c for c in map(chr, range(0x2000)) if latin(c)}
 
     def text(self, text: str) -> list[str]:
-        return self.chunk(self.prefix + text.replace(" ", BLANK)) if text else []
+        return self.marked(self.prefix + text.replace(" ", BLANK)) if text else []
 
-    def chunk(self, marked: str) -> list[str]:
+    def marked(self, marked: str) -> list[str]:
         """Units of text whose blanks are marked."""
         out = self.find(marked)
-        if any(len(u) > LONG_UNIT or (len(u) > 1 and not self.latin(u[-1])) for u in out):
-            return [x for u in out for x in self.cut(u)]
+        letters = self.letters
+        rough = [i for i, u in enumerate(out) if len(u) > 1 and (u[-1] not in letters or len(u) > LONG_UNIT)]
+        if rough:
+            for i in rough:
+                out[i] = self.cut(out[i])
+            out = [x for u in out for x in ((u,) if isinstance(u, str) else u)]
         return out
 
-    def cut(self, unit: str) -> list[str]:
-        """Where no piece has a character and the next one, no piece crosses."""
-        if len(unit) < 2 or (len(unit) <= LONG_UNIT and self.latin(unit[-1])):
-            return [unit]
-        at = [i + 1 for i in range(len(unit) - 1) if unit[i : i + 2] not in self.pairs]
-        return [unit[i:j] for i, j in zip([0, *at], [*at, len(unit)], strict=True)]
-
 
 def units_of(text: str, vocabulary: Vocabulary) -> list[str]:
     return Splitter(vocabulary).text(text)
 
 
 class Words:
-    """A column of texts as codes of distinct words: ``words``, ``codes`` and the words of each text, ``counts``.
+    """A column of texts as codes of distinct words, and the words' units, flat.
 
     Only texts whose blanks stand alone between words are cut that way; ``odd`` has the places of the others,
-    which count as having no words here.
+    which count as having no words here. ``counts``: words of each text; ``sizes``: units of each word.
     """
 
-    def __init__(self, column: pa.Array, prefix: str) -> None:
+    def __init__(self, column: pa.Array, splitter: Splitter) -> None:
         plain = pc.fill_null(column, "")
         odd = pc.match_substring_regex(plain, f"^ |  | $|{BLANK}")
-        if not prefix:
+        if not splitter.prefix:
             odd = pa.array(np.ones(len(plain), bool))
+        odd = pc.or_(odd, pc.equal(plain, ""))
         self.odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
-        lists = pc.split_pattern(pc.if_else(odd, "", plain), " ")
+        lists = pc.split_pattern(plain.filter(pc.invert(odd)), " ")
         found = lists.flatten().dictionary_encode()
-        self.words = found.dictionary.to_pylist()
         self.codes = found.indices.to_numpy()
-        self.counts = np.diff(lists.offsets.to_numpy())
+        self.counts = np.zeros(len(plain), np.int64)
+        self.counts[~odd.to_numpy(zero_copy_only=False)] = np.diff(lists.offsets.to_numpy())
+        words = pa.ListArray.from_arrays(pa.array([0, len(found.dictionary)], pa.int32()), found.dictionary)
+        self.units = splitter.marked(BLANK + pc.binary_join(words, BLANK)[0].as_py()) if len(found.dictionary) else []
+        # a word has one blank, at its start
+        first = np.fromiter((u[0] == BLANK for u in self.units), bool, len(self.units))
+        self.sizes = np.diff(np.append(np.flatnonzero(first), len(self.units)))
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -217,29 +225,32 @@ def valid(column: pa.Array) -> pa.Array:
     return column
 
 
+_splitters: dict[str, Splitter] = {}
+
+
+def _splitter(path: str) -> Splitter:
+    if path not in _splitters:
+        _splitters[path] = Splitter(load(path))
+    return _splitters[path]
+
+
 def distinct_units(docs: DataFrame, path: str) -> DataFrame:
     """``unit, n``: every unit of the corpus and how often it occurs."""
     out = arrow_schema("unit string, n long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed_memory()
-        splitter = Splitter(load(path))
-        held: Counter[str] = Counter()
+        splitter = _splitter(path)
         for b in gathered(batches, 0):
             column = valid(b.column(0))
-            found = Words(column, splitter.prefix)
-            times = np.bincount(found.codes, minlength=len(found.words)).tolist()
-            for word, n in zip(found.words, times, strict=True):
-                if word:
-                    for u in splitter.chunk(splitter.prefix + word):
-                        held[u] += n
+            found = Words(column, splitter)
+            units = pa.array(found.units, pa.string()).dictionary_encode()
+            times = np.repeat(np.bincount(found.codes, minlength=len(found.sizes)), found.sizes)
+            n = np.bincount(units.indices.to_numpy(), times, len(units.dictionary)).astype(np.int64)
+            yield to_batch({"unit": units.dictionary, "n": pa.array(n)}, out)
             for i in found.odd:
-                held.update(splitter.text(column[i].as_py() or ""))
-            if len(held) >= UNITS:
-                yield to_batch({"unit": list(held), "n": list(held.values())}, out)
-                held.clear()
-        if held:
-            yield to_batch({"unit": list(held), "n": list(held.values())}, out)
+                if own := Counter(splitter.text(column[i].as_py() or "")):
+                    yield to_batch({"unit": list(own), "n": list(own.values())}, out)
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "unit string, n long")
@@ -451,8 +462,10 @@ class Head:
         data = np.memmap(source, np.uint8, "r") if isinstance(source, str) else np.frombuffer(source, np.uint8)
         n, width = (int(x) for x in data[:16].view("<i8"))
         self.digests = data[16 : 16 + 8 * n].view("<i8")
-        self.ends = data[16 + 8 * n : 24 + 16 * n].view("<i8")
-        self.ids = data[24 + 16 * n :]
+        self.ends = data[16 + 8 * n : 32 + 16 * n].view("<i8")
+        self.ids = data[32 + 16 * n :]
+        #: an entry for each digest, then an empty one
+        self.entries = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n + 1, [None, pa.py_buffer(self.ends), pa.py_buffer(self.ids)])
         self.dtype = np.dtype(f"<u{width}")
 
     @staticmethod
@@ -462,19 +475,25 @@ class Head:
         yield digests[order].astype("<i8").tobytes()
         ids = ids.take(pa.array(order))
         at = ids.offsets.to_numpy() if hasattr(ids, "offsets") else np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1]
-        yield at.astype("<i8").tobytes()
+        yield np.append(at - at[0], at[-1] - at[0]).astype("<i8").tobytes()
         yield ids.buffers()[2].to_pybytes()[at[0] : at[-1]] if len(ids) else b""
 
-    def find(self, units: list[str]) -> list[bytes | None]:
+    def find(self, units: pa.Array) -> np.ndarray:
+        """Place of each unit's entry; the place after the last, which is empty, for those that are missing."""
         import xxhash
 
-        if not len(self.digests):
-            return [None] * len(units)
-        d = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42) for u in units), np.uint64, len(units)).view(np.int64)
-        at = np.minimum(np.searchsorted(self.digests, d), len(self.digests) - 1)
-        hit = self.digests[at] == d
-        starts, ends, ids = self.ends[at], self.ends[at + 1], self.ids
-        return [ids[s:e].tobytes() if h else None for h, s, e in zip(hit.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+        digest, none = xxhash.xxh64_intdigest, len(self.digests)
+        data = units.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        d = np.fromiter((digest(u, 42) for u in data), np.uint64, len(data)).view(np.int64)
+        if not none:
+            return np.zeros(len(units), np.int64)
+        by = np.argsort(d)  # neighbours in the file after each other
+        at = np.empty(len(d), np.int64)
+        at[by] = np.minimum(np.searchsorted(self.digests, d[by]), none - 1)
+        return np.where(self.digests[at] == d, at, none)
+
+    def one(self, place: int) -> bytes:
+        return self.ids[self.ends[place] : self.ends[place + 1]].tobytes()
 
 
 def publish_head(words: DataFrame, head_bytes: int, n_ids: int) -> tuple[str, int]:
@@ -593,65 +612,43 @@ _books: dict[tuple[str, str], _Book] = {}
 
 def _book(path: str, name: str) -> _Book:
     if (path, name) not in _books:
-        _books.clear()  # another run's cache isn't used again
+        _books.clear()
         _books[path, name] = _Book(path, Head(SparkFiles.get(name)))
     return _books[path, name]
 
 
 class _Book:
-    """Ids of words from the head, cached in two generations."""
+    """Ids of texts from the head."""
 
     def __init__(self, path: str, head: Head) -> None:
-        self.splitter = Splitter(load(path))
+        self.splitter = _splitter(path)
         self.head = head
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-
-    def look_up(self, new: list[str]) -> Iterator[bytes | None]:
-        """Ids, as bytes, of words that follow a blank; None where a unit isn't in the head."""
-        parts = [self.splitter.chunk(self.splitter.prefix + w) if w else [] for w in new]
-        units = list({u for p in parts for u in p})
-        found = dict(zip(units, self.head.find(units), strict=True))
-        for p in parts:
-            x = [found[u] for u in p]
-            yield None if None in x else b"".join(x)
-
-    def words(self, words: list[str]) -> list[bytes | None]:
-        young, old = self.young, self.old
-        out = list(map(young.get, words))
-        ask = []
-        for i, x in enumerate(out):
-            if x is None:
-                if (x := old.get(words[i])) is not None:
-                    out[i] = young[words[i]] = x
-                else:
-                    ask.append(i)
-        for at in range(0, len(ask), 20_000):
-            some = ask[at : at + 20_000]
-            for i, x in zip(some, self.look_up([words[i] for i in some]), strict=True):
-                out[i] = x
-                if x is not None and len(words[i]) <= CACHED_CHARS:
-                    young[words[i]] = x
-        if len(young) > CACHE:
-            self.old, self.young = young, {}
-        return out
+
+    def words(self, found: Words) -> tuple[pa.Array, np.ndarray]:
+        """Ids, as bytes, of each word, and whether the head lacks one of its units."""
+        units = pa.array(found.units, pa.string()).dictionary_encode()
+        at = self.head.find(units.dictionary)[units.indices.to_numpy()]
+        flat = self.head.entries.take(pa.array(at))
+        firsts = np.cumsum(found.sizes) - found.sizes
+        ends = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(firsts), [None, pa.py_buffer(np.append(ends[firsts], ends[-1])), flat.buffers()[2]]
+        )
+        gone = at == len(self.head.digests)
+        return words, np.add.reduceat(gone, firsts) > 0 if len(firsts) else np.zeros(0, bool)
 
     def encode(self, column: pa.Array, own: list[dict[str, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, joined, and where each text's end."""
-        found = Words(column, self.splitter.prefix)
-        known = self.words(found.words)
+        found = Words(column, self.splitter)
+        words, gone = self.words(found)
         dtype = self.head.dtype
+        odd = {*found.odd, *_rows(found, gone[found.codes]).tolist()}
+        flat = words.take(pa.array(found.codes))
+        _, ends, data = flat.buffers()
+        data = memoryview(data) if data is not None else memoryview(b"")
+        upto = np.frombuffer(ends, np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
         ends = np.cumsum(found.counts)
         starts = ends - found.counts
-        gone = {i for i, x in enumerate(known) if x is None}
-        odd = set(found.odd)
-        if gone:
-            hit = np.isin(found.codes, list(gone))
-            odd.update(np.flatnonzero(np.add.reduceat(np.append(hit, False), starts) * (found.counts > 0)).tolist())
-        sizes = np.array([len(x) if x else 0 for x in known], np.int64)
-        upto = np.concatenate(([0], np.cumsum(sizes[found.codes])))
-        data = pa.array(known, pa.binary()).take(pa.array(found.codes)).buffers()[2]
-        data = memoryview(data) if data is not None else memoryview(b"")
         if not odd:
             return np.frombuffer(data[: upto[-1]], dtype), upto[ends] // dtype.itemsize
         parts = [data[s:e] for s, e in zip(upto[starts].tolist(), upto[ends].tolist(), strict=True)]
@@ -664,42 +661,44 @@ class _Book:
         """Ids of a text whose blanks or rare units need more care; ``own`` has the units that the head lacks."""
         units = self.splitter.text(text)
         names = list(set(units) - own.keys())
-        found = dict(zip(names, self.head.find(names), strict=True))
+        found = {u: self.head.one(at) for u, at in zip(names, self.head.find(pa.array(names, pa.string())).tolist(), strict=True)}
         found |= {u: np.array(x, dtype).tobytes() for u, x in own.items()}
         return b"".join([found[u] for u in units])
 
 
+def _rows(found: Words, hit: np.ndarray) -> np.ndarray:
+    """Texts of the words that are hit, one for each."""
+    return np.repeat(np.arange(len(found.counts)), found.counts)[hit]
+
+
 def _missing(path: str, name: str):
     arrow = arrow_schema("doc_id long, th long, unit string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = _book(path, name)
+        none = len(book.head.digests)
         for b in gathered(batches, 2):
             column = valid(b.column(2))
-            found = Words(column, book.splitter.prefix)
-            gone = np.flatnonzero([x is None for x in book.words(found.words)])
+            found = Words(column, book.splitter)
+            _, gone = book.words(found)
+            firsts = np.cumsum(found.sizes) - found.sizes
             rare: dict[int, list[str]] = {}
-            for c in gone.tolist():
-                units = book.splitter.chunk(book.splitter.prefix + found.words[c])
-                rare[c] = [u for u, x in zip(units, book.head.find(units), strict=True) if x is None]
+            for w in np.flatnonzero(gone).tolist():
+                units = found.units[firsts[w] : firsts[w] + found.sizes[w]]
+                rare[w] = [u for u, at in zip(units, book.head.find(pa.array(units, pa.string())).tolist(), strict=True) if at == none]
+            own: dict[int, set[str]] = {}
+            hit = gone[found.codes]
+            for i, w in zip(_rows(found, hit).tolist(), found.codes[hit].tolist(), strict=True):
+                own.setdefault(i, set()).update(rare[w])
+            for i in found.odd:
+                units = list(set(book.splitter.text(column[i].as_py() or "")))
+                own[i] = {u for u, at in zip(units, book.head.find(pa.array(units, pa.string())).tolist(), strict=True) if at == none}
             out: dict[str, list] = {"doc_id": [], "th": [], "unit": []}
             ids, hashes = b.column(0).to_pylist(), b.column(1).to_pylist()
-
-            def tell(i: int, units: set[str]) -> None:
+            for i, units in own.items():
                 out["doc_id"] += [ids[i]] * len(units)
                 out["th"] += [hashes[i]] * len(units)
                 out["unit"] += units
-
-            row = np.repeat(np.arange(len(found.counts)), found.counts)
-            hit = np.isin(found.codes, gone)
-            own: dict[int, set[str]] = {}
-            for i, c in zip(row[hit].tolist(), found.codes[hit].tolist(), strict=True):
-                own.setdefault(i, set()).update(rare[c])
-            for i in found.odd:
-                units = list(set(book.splitter.text(column[i].as_py() or "")))
-                own[i] = {u for u, x in zip(units, book.head.find(units), strict=True) if x is None}
-            for i, units in own.items():
-                tell(i, units)
             yield to_batch(out, arrow)
 
     return run
