@@ -44,7 +44,7 @@ HEAD_BYTES = 96 << 20
 #: Texts are gathered to so many characters before they are split.
 GATHER = 8 << 20
 #: Units of one lattice task: bounds the edges that it holds.
-PART_UNITS = 20_000
+PART_UNITS = 50_000
 #: Latin units over this length are cut wherever no piece has both neighbours.
 LONG_UNIT = 32
 #: Score of an unknown character in a unigram lattice, below the lowest piece.
