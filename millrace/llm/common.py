@@ -6,14 +6,15 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch. Texts have no length limit, so batches are kept short.
-BATCH_ROWS = 256
+#: Bytes of one Arrow batch.
+BATCH_BYTES = 2 << 20
+#: Bytes of text that are gathered from short batches to be worked on at once.
+GATHER = 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -25,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) a local folder is made and set.
+    Only where that is unset and the master is local (tests, a laptop) a local folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,12 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted at exit like what ``materialize`` writes."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def delete_scratch() -> None:
     """Delete what ``materialize`` wrote; called at exit, when no lazy result can still need it."""
     while _written:
@@ -63,8 +72,7 @@ def publish(spark: SparkSession, data: Iterable[bytes], kind: str) -> str:
 
     It goes with the other scratch files.
     """
-    name = f"{kind}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, kind))
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path.getParent())
     out = fs.create(path, True)
@@ -72,28 +80,16 @@ def publish(spark: SparkSession, data: Iterable[bytes], kind: str) -> str:
         for i in range(0, len(part), 4 << 20):
             out.write(bytearray(part[i : i + (4 << 20)]))
     out.close()
-    _written.append((spark, path.toString()))
     spark.sparkContext.addFile(path.toString())
-    return name
-
-
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A setting of the session for the time of a statement; jobs that run within see it."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+    return path.getName()
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: few rows to an Arrow batch, however long their texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the memory of a Python worker: an Arrow batch has so many bytes, but for one larger row.
+
+    The session keeps this, since results are lazy; a batch of whatever other rows is bounded alike.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
@@ -130,6 +126,34 @@ def to_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until ``column`` has ``GATHER`` bytes: what is worked on depends on sizes alone."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= GATHER:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def valid(column: pa.Array) -> pa.Array:
+    """The column with U+FFFD for bytes that aren't UTF-8."""
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()], pa.string())
+    return column
+
+
+def strings(column: pa.Array) -> list[str]:
+    """The strings of a column without nulls."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

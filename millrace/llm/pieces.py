@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, keep_freed_memory, materialize, publish, raw, setting, small_batches, texts, to_batch
+from .common import arrow_schema, gathered, keep_freed_memory, materialize, publish, raw, small_batches, to_batch, valid
 
 #: SentencePiece's stand-in for a blank, and the kinds of pieces and models of its file format (fixed values).
 BLANK = "▁"
@@ -41,8 +41,6 @@ BITS = 62
 LENGTH_BITS, POSITION_BITS = 8, 32
 #: Dictionary entries that executors map from one file take so many bytes at most; rarer units are joined.
 HEAD_BYTES = 96 << 20
-#: Texts are gathered to so many characters before they are split.
-GATHER = 8 << 20
 #: Units of one lattice task: bounds the edges that it holds.
 PART_UNITS = 50_000
 #: Latin units over this length are cut wherever no piece has both neighbours.
@@ -202,29 +200,6 @@ class Words:
         self.sizes = np.diff(np.append(np.flatnonzero(first), len(self.units)))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Batches joined until ``column`` has ``GATHER`` bytes: what is worked on depends on sizes alone."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in batches:
-        held.append(b)
-        size += b.column(column).nbytes
-        if size >= GATHER:
-            yield pa.concat_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
-def valid(column: pa.Array) -> pa.Array:
-    """The column with U+FFFD for bytes that aren't UTF-8."""
-    try:
-        column.validate(full=True)
-    except pa.ArrowInvalid:
-        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()], pa.string())
-    return column
-
-
 _splitters: dict[str, Splitter] = {}
 
 
@@ -527,8 +502,7 @@ def publish_head(words: DataFrame, head_bytes: int, n_ids: int) -> tuple[str, in
             at = ((ids.offsets.to_numpy() - ids.offsets[0].as_py()) * width).astype(np.int32)
             yield to_batch({"d": b.column(0), "ids": pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at), pa.py_buffer(flat)])}, arrow)
 
-    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "20000"):
-        got = picked.select("d", "ids").mapInArrow(narrow, schema).toArrow()  # head_bytes at most
+    got = picked.select("d", "ids").mapInArrow(narrow, schema).toArrow()  # head_bytes at most
     ids = got.column("ids").combine_chunks() if got.num_rows else pa.array([], pa.binary())
     ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
     return publish(spark, Head.pack(got.column("d").to_numpy().astype(np.int64), ids, width), "pieces"), least

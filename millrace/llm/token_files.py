@@ -9,27 +9,26 @@ can be decoded from its bit offset without the ones before it; all blocks of a f
 
 from __future__ import annotations
 
-import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialize, shared_dir, small_batches, texts, to_batch
+from .common import arrow_schema, gathered, keep_freed_memory, materialize, scratch_path, small_batches, strings, to_batch, valid
 
 MAX_LEN = 20
 BLOCK = 512
 #: A frame is closed at so many tokens; one document is never split.
 FRAME = 1 << 19
 END_ID = 2
-#: Cached chunks of text in each of two generations, per Python worker.
-CACHE = 300_000
+#: Cached words in each of two generations, per Python worker, and the bytes of ids that one may have.
+CACHE, CACHED_BYTES = 250_000, 64
 
 # --- the code --------------------------------------------------------------------------------------------
 
@@ -124,109 +123,113 @@ def unpack(data: bytes, offsets: np.ndarray, n_tokens: int, table: np.ndarray, m
 
 # --- encoding text ---------------------------------------------------------------------------------------
 
-#: Letters that every Unicode version agrees on, then ASCII punctuation but the apostrophe: two pre-tokens at most.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: A blank that stands at an end of the text or beside other white space; elsewhere no pre-token spans its front.
+_ODD = r"^$|^ | $|[\s\x0b\x1c-\x1f\x{85}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: Distinct words that go to the library as one text.
+GROUP = 200
 
 
-class ChunkEncoder:
-    """Byte-level BPE of whole texts through the tokenizers library, with a cache of chunks.
+class BatchEncoder:
+    """Byte-level BPE of whole texts through the tokenizers library, each distinct word of a batch once.
 
-    A text is cut before each space that follows a non-blank: no pre-token spans such a place, so the parts'
-    ids joined are the ids of the whole. Plain words go straight to the library's BPE model; any other
-    chunk goes through the whole tokenizer.
+    A text is cut before each blank: where a blank stands alone between other characters, no pre-token and no
+    added token spans its front, so the words' ids joined are the ids of the whole. Words go to the library many at
+    a time, each with its blank; the tokens that begin with a blank tell them apart again. Texts with other blanks,
+    and all texts of a tokenizer that isn't of this kind, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.bpe = self.tok.model
-        self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [i for i in range(256) if i not in set(keep)]
-        # the usual printable stand-ins of bytes
-        self.alphabet = {i: i for i in keep} | {b: 256 + i for i, b in enumerate(rest)}
-        self.blank = chr(self.alphabet[32])
-        self.code = "H" if self.dtype == "<u2" else "I"
+        size = self.tok.get_vocab_size()
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        own = json.loads(self.tok.to_str())
+        cut = own["pre_tokenizer"] or {}
+        self.cuts = (
+            own["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+            and not own["model"].get("dropout") and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in own["added_tokens"])
+        )
+        # byte 32 is written as U+0120 in such vocabularies
+        self.begins = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def model(self, s: str) -> list[int]:
-        if s.isascii() and s.isprintable():
-            # printable ASCII but the blank stands for itself
-            s = s.replace(" ", self.blank)
-        else:
-            s = s.encode().decode("latin-1").translate(self.alphabet)
-        return [t.id for t in self.bpe.tokenize(s)]
-
-    def pack(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def ids(self, chunk: str) -> bytes:
-        """Ids, as bytes, of one chunk, its leading space included."""
-        lead = chunk[:1] == " "
-        body = chunk[1:] if lead else chunk
-        if m := _PLAIN.fullmatch(body):
-            word, tail = m.groups()
-            if not tail:
-                return self.pack(self.model(chunk))
-            if tail not in self.parts:
-                self.parts[tail] = self.pack(self.model(tail))
-            # a word before a comma is mostly known without it
-            return (self.young.get(word) or self.lookup(word) if lead else self.pack(self.model(word))) + self.parts[tail]
-        lines = body.split("\n")
-        if len(lines) > 1 and all(_PLAIN.fullmatch(x) for x in lines):
-            first = self.young.get(lines[0]) or self.lookup(lines[0]) if lead else self.ids(lines[0])
-            end = self.pack(self.model("\n"))
-            # a line end between non-blanks is a pre-token
-            return end.join([first, *map(self.ids, lines[1:])])
-        return self.pack(self.tok.encode(chunk, add_special_tokens=False).ids)
-
-    def lookup(self, key: str) -> bytes:
-        """Ids, as bytes, of the chunk " " + key."""
-        found = self.old.get(key)
-        if found is None:
-            found = self.ids(" " + key)
-        if not key or key[-1].isspace():
-            return found  # only at the end of a text a chunk of its own, so never cached
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
-        self.young[key] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        parts = text.split(" ")
-        first, rest = parts[0], parts[1:]
-        out = list(map(self.young.get, rest))
-        missing = [i for i, x in enumerate(out) if x is None] if None in out else []
-        # chunks that end in a blank aren't cached, so only new ones can be of that kind
-        if first[-1:].isspace() or any(not (x := rest[i]) or x[-1].isspace() for i in missing):
-            # spaces that follow a blank don't begin a chunk
-            chunks = [first]
-            for x in rest:
-                if len(chunks) == 1 and not chunks[0]:
-                    chunks.append(x)  # the text begins with this space
-                elif not chunks[-1] or chunks[-1][-1].isspace():
-                    chunks[-1] += " " + x
-                else:
-                    chunks.append(x)
-            first, rest = chunks[0], chunks[1:]
-            out = list(map(self.young.get, rest))
-            missing = [i for i, x in enumerate(out) if x is None]
-        for i in missing:
-            out[i] = self.young.get(rest[i]) or self.lookup(rest[i])
-        head = self.ids(first) if first else b""
-        return head + b"".join(out)
-
-
-_encoders: dict[str, ChunkEncoder] = {}
 
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("H" if self.dtype == "<u2" else "I", e.ids).tobytes() for e in found]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids, as bytes, of words that follow a blank."""
+        young, old = self.young, self.old
+        out = list(map(young.get, words))
+        new = []
+        for i, x in enumerate(out):
+            if x is None:
+                if (x := old.get(words[i])) is not None:
+                    out[i] = young[words[i]] = x
+                else:
+                    new.append(i)
+        width = np.dtype(self.dtype).itemsize
+        for at in range(0, len(new), 100 * GROUP):
+            groups = [new[k : k + GROUP] for k in range(at, min(at + 100 * GROUP, len(new)), GROUP)]
+            for group, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                first = np.flatnonzero(self.begins[ids])
+                data = ids.tobytes()
+                for i, s, t in zip(group, (first * width).tolist(), np.append(first[1:] * width, len(data)).tolist(), strict=True):
+                    out[i] = data[s:t]
+                    if t - s <= CACHED_BYTES:
+                        young[words[i]] = out[i]
+            if len(young) > CACHE:
+                self.old, self.young = young, {}
+                young, old = self.young, self.old
+        return out
 
-def encoder(path: str) -> ChunkEncoder:
+    def encode(self, column: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end``, and where each text's end."""
+        plain = pc.fill_null(column, "")
+        n = len(plain)
+        odd = pc.match_substring_regex(plain, _ODD).to_numpy(zero_copy_only=False) if self.cuts else np.ones(n, bool)
+        even = ~odd
+        lists = pc.split_pattern(plain.filter(pa.array(even)), " ")
+        found = lists.flatten().dictionary_encode()
+        codes = found.indices.to_numpy()
+        counts = np.ones(n, np.int64)
+        counts[even] = np.diff(lists.offsets.to_numpy())
+        names = strings(found.dictionary)
+        known = self.words(names)
+        # the first word of a text has no blank
+        at = (np.cumsum(counts[even]) - counts[even]).astype(np.int64)
+        known += self.whole([names[c] for c in codes[at].tolist()])
+        known += self.whole(strings(plain.filter(pa.array(odd))))
+        ends = np.cumsum(counts + 1)
+        starts = ends - counts - 1
+        order = np.full(int(ends[-1]) if n else 0, len(known), np.int64)
+        is_word = np.ones(len(order), bool)
+        is_word[ends - 1] = False
+        is_word[starts[odd]] = False
+        order[is_word] = codes
+        order[starts[even]] = len(names) + np.arange(len(at))
+        order[starts[odd]] = len(names) + len(at) + np.arange(int(odd.sum()))
+        flat = pa.array([*known, end], pa.large_binary()).take(pa.array(order))
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        upto = np.frombuffer(flat.buffers()[1], np.int64)
+        data = memoryview(flat.buffers()[2] or b"")[: upto[len(flat)]]
+        return np.frombuffer(data, self.dtype), upto[ends] // np.dtype(self.dtype).itemsize
+
+
+_encoders: dict[str, BatchEncoder] = {}
+
+
+def encoder(path: str) -> BatchEncoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = BatchEncoder(path)
     return _encoders[path]
 
 
@@ -247,11 +250,14 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID)
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         counts = np.zeros(max(enc.tok.get_vocab_size(), end_id + 1), np.int64)
-        for b in batches:
-            ids = [enc.encode(x) + end for x in texts(b.column(2))]
-            n = np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=len(counts))
-            counts += n
-            yield to_batch({"kind": np.zeros(len(ids), np.int32), "doc_id": b.column(0), "th": b.column(1), "ids": ids}, tokens)
+        keep_freed_memory()
+        width = np.dtype(enc.dtype).itemsize
+        for b in gathered(batches, 2):
+            ids, ends = enc.encode(valid(b.column(2)), end)
+            counts += np.bincount(ids, minlength=len(counts))
+            at = pa.py_buffer((np.concatenate(([0], ends)) * width).astype(np.int32))
+            rows = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, at, pa.py_buffer(ids.tobytes())])
+            yield to_batch({"kind": np.zeros(b.num_rows, np.int32), "doc_id": b.column(0), "th": b.column(1), "ids": rows}, tokens)
         # one more row for each task: its counts
         yield to_batch({"kind": [1], "doc_id": [None], "th": [None], "ids": [counts.astype("<i8").tobytes()]}, tokens)
 
@@ -342,7 +348,7 @@ def read_ids(spark: SparkSession, path: str, columns: Callable[[np.ndarray], dic
                 out = {"doc_id": r["doc_ids"], "start": starts + (base[r["part"]] + r["first"]), "n_tokens": n}
                 yield to_batch(out | {k: [m[k] for m in more] for k in more[0]}, arrow)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # frames are large
+    small_batches(spark)
     return frames.select("part", "first", "n_tokens", "doc_ids", "counts", "offsets", "bits").mapInArrow(decode, full)
 
 
@@ -352,6 +358,6 @@ def checksum(ids: np.ndarray) -> dict:
 
 def op1(documents: DataFrame, tokenizer: str) -> DataFrame:
     spark = documents.sparkSession
-    path = f"{shared_dir(spark)}/token-file-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "token-file")
     write_ids(documents, tokenizer, path)
     return read_ids(spark, path, checksum, "ids_crc32 long")

@@ -22,6 +22,7 @@ def odd(spark):
         (1, "the quick brown fox jumps over the lazy dog again", "s1"), (2, "", "s2"), (3, None, "s3"), (None, "a text of no document", None), (None, None, None),
         (4, long, "s4"), (5, "same words in both of these two rows here", "s5"), (5, "same words in both of these two rows here", "s5"), (5, "other text under that id", "s5"),
         (6, " \t\n ", "s6"), (7, "Ünïcödé 日本 \U0001f600 text", "s7"), (8, "one", "s8"), (9, "the quick brown fox jumps over the lazy dog again", "s9"), (10, "x  y \n z  ", "s1"),
+        (11, "a <|endoftext|>b\n <|endoftext|> c d<|endoftext|>", "s10"), (12, " e\u00a0 f \u3000g h\ti j's  k'll", "s10"),
     ]
     return spark.createDataFrame([(i, t, "en", s, 1, "a", 2, "b", "c") for i, t, s in rows], SCHEMA)
 
@@ -40,7 +41,9 @@ def docs(spark, sf):
 
 
 def expected_ids(rows):
-    tok = token_files.encoder(tokenizer("byte_bpe_50k.json")).tok
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
     order = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     start, out = 0, {}
     for r in order:
@@ -67,6 +70,23 @@ def test_token_files_odd(odd, none):
     assert token_files.op1(none, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_batches_fuzz():
+    """Blanks of all kinds, contractions, added tokens and scripts: ids are the library's."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), token_files.BatchEncoder(path)
+    parts = ["a", "B", "hello", "'s", "'ll", " ", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u2003", "\x0b", "\x1c", "\x85", "é", "日本", "😀", "23", ".", "<|endoftext|>", "_", "\u200b", "İ"]
+    rng = random.Random(3)
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [None, "", " "]
+    ids, ends = enc.encode(pa.array(rows, pa.string()), np.array([2], enc.dtype).tobytes())
+    for text, s, e in zip(rows, [0, *ends.tolist()], ends.tolist(), strict=False):
+        assert ids[s:e].tolist() == [*tok.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 def test_huffman_limits():
     rng = np.random.default_rng(1)
     for counts in ([5], [1, 1], [2**i for i in range(40)], rng.integers(0, 50, 3000).tolist()):
@@ -382,13 +402,34 @@ def test_pieces_are_the_models(docs, odd, head_bytes):
 
     path = tokenizer("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    both = docs.filter("doc_id < 40").select("doc_id", "text").unionAll(odd.select("doc_id", "text"))
+    both = docs.select("doc_id", "text").unionAll(odd.select("doc_id", "text"))
     got = pieces.encode_decode(both, path, head_bytes).collect()
     assert len(got) == both.count()
     for r in got:
         assert list(r.ids) == sp.encode(r.text or "") and r.decoded == (r.text or "").replace(pieces.BLANK, " ")
 
 
+def test_merge_sets_are_the_models(spark):
+    """Viterbi over merge sets, in bits and in arrays, against the library on units that tie, repeat and run long."""
+    import random
+
+    import sentencepiece
+    from pyspark.sql import functions as F
+
+    path = tokenizer("piece_bpe_32k.model")
+    sp, v = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load(path)
+    head = sp.encode("\n")
+    rng = random.Random(7)
+    parts = ["th", "he", "a", "aaa", "e", "ou", "tion", "▁", "ing", "sch", "ss", "ab", "re", "ere", "=", "--", "中", "\n", "é", "😀"]
+    units = {"".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(400)}
+    units |= {c * k for c in "a=▁-" for k in (1, 2, 3, 7, 15, 16, 17, 33, 90)} | {"ab" * 40, "a" * 700, "xyz" * 200}
+    rows = spark.createDataFrame([(u, 1) for u in sorted(units)], "unit string, n long")
+    edges = pieces.lattice(rows.repartition(4, "unit"), pieces.piece_table(spark, v), 16, v.byte_ids, 0.0)
+    both = pieces.dictionary(rows, v).unionByName(edges.select("unit", "n", pieces.viterbi_any(16, True).alias("ids")))
+    for r in both.collect():
+        assert list(r.ids) == sp.encode("\n" + r.unit)[len(head) :], r.unit
+
+
 def test_pieces_of_nothing(none):
     assert pieces.op7(none, tokenizer("piece_bpe_32k.model")).count() == 0
 
