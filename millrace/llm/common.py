@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -149,9 +150,10 @@ def valid(column: pa.Array) -> pa.Array:
     return column
 
 
-def strings(column: pa.Array) -> list[str]:
-    """The strings of a column without nulls."""
-    return column.to_numpy(zero_copy_only=False).tolist()
+def joined(words: pa.Array, by: str) -> str:
+    """The strings of a column without nulls, joined: much cheaper than a Python string for each."""
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(one, by)[0].as_py() or ""
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
 
@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, gathered, keep_freed_memory, materialize, publish, raw, small_batches, to_batch, valid
+from .common import arrow_schema, gathered, joined, keep_freed_memory, materialize, publish, raw, small_batches, to_batch, valid
 
 #: SentencePiece's stand-in for a blank, and the kinds of pieces and models of its file format (fixed values).
 BLANK = "▁"
@@ -42,7 +42,7 @@ LENGTH_BITS, POSITION_BITS = 8, 32
 #: Dictionary entries that executors map from one file take so many bytes at most; rarer units are joined.
 HEAD_BYTES = 96 << 20
 #: Units of one lattice task: bounds the edges that it holds.
-PART_UNITS = 50_000
+PART_UNITS = 30_000
 #: Latin units over this length are cut wherever no piece has both neighbours.
 LONG_UNIT = 32
 #: Score of an unknown character in a unigram lattice, below the lowest piece.
@@ -193,8 +193,7 @@ class Words:
         self.codes = found.indices.to_numpy()
         self.counts = np.zeros(len(plain), np.int64)
         self.counts[~odd.to_numpy(zero_copy_only=False)] = np.diff(lists.offsets.to_numpy())
-        words = pa.ListArray.from_arrays(pa.array([0, len(found.dictionary)], pa.int32()), found.dictionary)
-        self.units = splitter.marked(BLANK + pc.binary_join(words, BLANK)[0].as_py()) if len(found.dictionary) else []
+        self.units = splitter.marked(BLANK + joined(found.dictionary, BLANK)) if len(found.dictionary) else []
         # a word has one blank, at its start
         first = np.fromiter((u[0] == BLANK for u in self.units), bool, len(self.units))
         self.sizes = np.diff(np.append(np.flatnonzero(first), len(self.units)))
@@ -267,37 +266,34 @@ def merge_keys(vocabulary: Vocabulary) -> dict[str, list[int]]:
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    """``piece, id, score, keys``; as long as the vocabulary. keys: see ``merge_keys``; a piece's own is the last."""
+    """``piece, score, own, inner``; as long as the vocabulary.
+
+    own: the key of the merge that makes the piece, for BPE; inner: those of the merges before it (``merge_keys``).
+    """
     if vocabulary.model_type == BPE:
         keys = merge_keys(vocabulary)
     else:
         keys = {vocabulary.pieces[i]: [] for i in vocabulary.plain}
-    rows = [(p, i, vocabulary.scores[i], keys[p]) for i in vocabulary.plain if (p := vocabulary.pieces[i]) in keys]
-    return spark.createDataFrame(rows, "piece string, id int, score double, keys array<long>")
+    rows = [(p, vocabulary.scores[i], *(keys[p][-1:] or [0]), keys[p][:-1]) for i in vocabulary.plain if (p := vocabulary.pieces[i]) in keys]
+    return spark.createDataFrame(rows, "piece string, score double, own long, inner array<long>")
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int, byte_ids: list[int], unknown: float) -> DataFrame:
-    """``unit, n, edges``: (key, i, end, ids, score, keys) of every piece from position i to end.
+def lattice(units: DataFrame, pieces: DataFrame, longest: int, singles: bool) -> DataFrame:
+    """``unit, n, edges``: (key, i, end, score, inner) of every piece of two or more characters from position i to end.
 
-    Single characters are edges even without a piece, with the ids of their bytes and the score ``unknown``; their
-    key is beyond all others and follows the position. ``units`` is dealt by unit, and substrings and the broadcast
-    join keep that, so the edges are grouped without a shuffle.
+    Single characters always are edges. They weigh nothing in a BPE lattice, which leaves them out; with ``singles``
+    they are there too, and have a null score where no piece is. One edge from position 0 to 1, beyond all others
+    by its key, keeps units without longer pieces. ``units`` is dealt by unit, and substrings and the broadcast join
+    keep that, so the edges are grouped without a shuffle.
     """
     ends = units.select("unit", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("end"))
-    spans = ends.select("unit", "n", "end", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), "end"))).alias("k"))
+    least = F.lit(1) if singles else F.least(F.lit(2), "end")
+    spans = ends.select("unit", "n", "end", F.explode(F.sequence(least, F.least(F.lit(max(longest, 2)), "end"))).alias("k"))
     i = F.col("end") - F.col("k")
     subs = spans.select("unit", "n", "end", "k", F.substring("unit", i + 1, F.col("k")).alias("piece"))
-    found = subs.join(F.broadcast(pieces), "piece", "left").filter(F.col("id").isNotNull() | (F.col("k") == 1))
-    table = F.array(*map(F.lit, byte_ids))
-    code = F.hex(F.encode("piece", "utf-8"))
-    of_bytes = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda b: F.element_at(table, F.conv(F.substring(code, b, F.lit(2)), 16, 10).cast("int") + 1))
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(of_bytes)
-    own = _shift(i, LENGTH_BITS) + F.element_at("keys", -1)
-    key = F.when(F.col("k") == 1, F.lit(1 << BITS) + F.col("end")).otherwise(F.when(F.size("keys") > 0, own).otherwise(F.lit(0).cast("long")))
-    edge = F.struct(
-        key.alias("key"), i.alias("i"), "end", ids.alias("ids"), F.coalesce("score", F.lit(unknown)).alias("score"),
-        F.when(F.col("k") == 1, F.array().cast("array<long>")).otherwise(F.col("keys")).alias("keys"),
-    )
+    found = subs.join(F.broadcast(pieces), "piece", "left").filter(F.col("score").isNotNull() | (F.col("k") == 1))
+    key = F.when(F.col("k") == 1, F.lit(1 << BITS) + F.col("end")).otherwise(_shift(i, LENGTH_BITS) + F.col("own"))
+    edge = F.struct(key.alias("key"), i.alias("i"), "end", "score", "inner")
     return found.select("unit", "n", edge.alias("edge")).groupBy("unit", "n").agg(F.collect_list("edge").alias("edges"))
 
 
@@ -311,71 +307,63 @@ def _let(value: Column, then) -> Column:
 
 
 def viterbi_bits(n: Column) -> Column:
-    """Ids of the best path of a BPE lattice of ``BITS`` characters and longer edges at most.
+    """Where the pieces of the best path end, for a BPE lattice of ``BITS`` characters and longer edges at most.
 
     The merges of all edges are the longer edges themselves, so the j-th least key is bit ``BITS - j``: a path's
     score is the sum of its edges' bits, and the greatest sum is the best path. The sum tells which merges
-    were made, and with them the path.
+    were made, and with them the path: no piece ends within a merge.
     """
+    one = F.lit(1).cast("long")
+    left = lambda x, k: F.call_function("shiftleft", x, k)
+    bit = lambda at: F.call_function("shiftright", F.lit(1 << BITS), at.cast("int"))
 
-    def solve(edges: Column) -> Column:
-        return _let(F.slice(edges, F.lit(1), F.size(edges) - n), lambda longer: _let(F.transform(longer, lambda e: e["key"]), lambda keys: scored(edges, longer, keys)))
-
-    def scored(edges: Column, longer: Column, keys: Column) -> Column:
-        bit = lambda at: F.call_function("shiftright", F.lit(1 << BITS), at.cast("int"))
-
-        def score(e: Column) -> Column:
-            shift = _shift(e["i"], LENGTH_BITS)
-            return F.aggregate(e["keys"], F.lit(0).cast("long"), lambda a, k: a + bit(F.array_position(keys, k + shift)))
+    def arcs(longer: Column, keys: Column) -> Column:
+        def arc(e: Column, at: Column) -> Column:
+            inner = lambda a, k: a + bit(F.array_position(keys, k + _shift(e["i"], LENGTH_BITS)))
+            score = F.aggregate(e["inner"], bit(at + 1), inner)
+            within = left(left(one, e["end"] - e["i"] - 1) - 1, e["i"] + 1)
+            return F.struct(e["i"].alias("i"), e["end"].alias("end"), score.alias("score"), bit(at + 1).alias("own"), within.alias("within"))
 
-        arcs = F.transform(longer, lambda e: F.struct(e["i"].alias("i"), e["end"].alias("end"), score(e).alias("score")))
-        return _let(arcs, lambda a: _let(best(a), lambda made: ids(edges, keys, longer, made, bit)))
+        return F.transform(longer, arc)
 
-    def best(arcs: Column) -> Column:
+    def best(found: Column) -> Column:
         def step(acc: Column, end: Column) -> Column:
             over = lambda m, a: F.when(a["end"] == end, F.greatest(m, F.element_at(acc, a["i"] + 1) + a["score"])).otherwise(m)
-            return F.concat(acc, F.array(F.aggregate(arcs, F.element_at(acc, end), over)))
+            return F.concat(acc, F.array(F.aggregate(found, F.element_at(acc, end), over)))
 
         return F.element_at(F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0).cast("long")), step), -1)
 
-    def ids(edges: Column, keys: Column, longer: Column, made: Column, bit) -> Column:
-        within = lambda e: F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), e["end"] - e["i"] - 1) - 1, e["i"] + 1)
-        done = F.filter(longer, lambda e, j: made.bitwiseAND(bit(j + 1)) != 0)
-        covered = lambda d: F.aggregate(d, F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(within(e)))
-        at = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p)
+    def cuts(found: Column) -> Column:
+        made = lambda total: F.aggregate(found, F.lit(0).cast("long"), lambda m, a: F.when(total.bitwiseAND(a["own"]) != 0, m.bitwiseOR(a["within"])).otherwise(m))
+        ends = lambda inside: F.filter(F.sequence(F.lit(1), n), lambda p: inside.bitwiseAND(left(one, p)) == 0)
+        return _let(best(found), lambda total: _let(made(total), ends))
 
-        def pick(d: Column, m: Column) -> Column:
-            every = F.concat(d, F.slice(edges, F.size(longer) + 1, n))
-            top = F.filter(every, lambda e: m.bitwiseAND(at(e["i"]).bitwiseOR(at(e["end"]))) == 0)
-            return F.flatten(F.transform(F.sort_array(F.transform(top, lambda e: F.struct(e["i"].alias("i"), e["ids"].alias("ids")))), lambda e: e["ids"]))
+    longer = F.slice(F.sort_array("edges"), F.lit(1), F.size("edges") - 1)
+    return _let(longer, lambda es: _let(F.transform(es, lambda e: e["key"]), lambda keys: _let(arcs(es, keys), cuts)))
 
-        return _let(done, lambda d: _let(covered(d), lambda m: pick(d, m)))
 
-    return _let(F.sort_array("edges"), solve)
-
-
-def viterbi_any(longest: int, bpe: bool) -> Column:
-    """Ids of the best path of a lattice of any size; unigram ties take the longer last piece.
+def viterbi_any(n: Column, longest: int, bpe: bool, unknown: float = 0.0) -> Column:
+    """Where the pieces of the best path end, for a lattice of any size; unigram ties take the longer last piece.
 
     The fold goes over the edges by their ends and carries the last ``longest`` + 1 positions with the cost and the
     path to each. What all their paths begin with is settled and leaves the state, merges included.
     """
     cost = "array<bigint>" if bpe else "double"
-    entry = f"struct<end:int,cost:{cost},path:array<struct<end:int,ids:array<int>>>>"
+    entry = f"struct<end:int,cost:{cost},path:array<int>>"
     state = f"struct<done:array<int>,window:array<{entry}>>"
     zero = F.array(F.lit((1 << 63) - 1)) if bpe else F.lit(0.0)
-    nothing = F.array().cast("array<struct<end:int,ids:array<int>>>")
-    start = F.struct(F.array().cast("array<int>").alias("done"), F.array(F.struct(F.lit(0).alias("end"), zero.alias("cost"), nothing.alias("path"))).alias("window")).cast(state)
+    nothing = F.array().cast("array<int>")
+    start = F.struct(nothing.alias("done"), F.array(F.struct(F.lit(0).alias("end"), zero.alias("cost"), nothing.alias("path"))).alias("window")).cast(state)
 
     def add(before: Column, e: Column) -> Column:
         if not bpe:
-            return before - e["score"]
+            return before - F.coalesce(e["score"], F.lit(unknown))
         shift = _shift(e["i"], LENGTH_BITS)
-        return F.when(F.size(e["keys"]) == 0, before).otherwise(F.sort_array(F.concat(before, F.transform(e["keys"], lambda k: k + shift))))
+        made = F.concat(before, F.array(e["key"]), F.transform(e["inner"], lambda k: k + shift))
+        return F.when(e["key"].isNull(), before).otherwise(F.sort_array(made))
 
     def extend(before: Column, e: Column) -> Column:
-        last = F.struct(e["end"].alias("end"), e["ids"].alias("ids"))
-        return F.struct(e["end"].alias("end"), add(before["cost"], e).alias("cost"), F.concat(before["path"], F.array(last)).alias("path")).cast(entry)
+        return F.struct(e["end"].alias("end"), add(before["cost"], e).alias("cost"), F.concat(before["path"], F.array(e["end"])).alias("path")).cast(entry)
 
     def settle(done: Column, window: Column) -> Column:
         def cut(x: Column, end: Column) -> Column:
@@ -386,8 +374,8 @@ def viterbi_any(longest: int, bpe: bool) -> Column:
             return F.struct(x["end"].alias("end"), rest.alias("cost"), F.slice(x["path"], F.lit(2), F.size(x["path"])).alias("path")).cast(entry)
 
         def first(head: Column) -> Column:
-            same = F.forall(window, lambda x: F.coalesce(F.get(x["path"], F.lit(0))["end"] == head["end"], F.lit(False)))
-            settled = F.struct(F.concat(done, head["ids"]).alias("done"), F.transform(window, lambda x: cut(x, head["end"])).alias("window"))
+            same = F.forall(window, lambda x: F.coalesce(F.get(x["path"], F.lit(0)) == head, F.lit(False)))
+            settled = F.struct(F.concat(done, F.array(head)).alias("done"), F.transform(window, lambda x: cut(x, head)).alias("window"))
             return F.when(same, settled.cast(state)).otherwise(F.struct(done.alias("done"), window.alias("window")).cast(state))
 
         return _let(F.get(F.element_at(window, 1)["path"], F.lit(0)), first)
@@ -404,27 +392,53 @@ def viterbi_any(longest: int, bpe: bool) -> Column:
 
         return _let(extend(F.element_at(window, F.size(window) - (last["end"] - e["i"])), e), take)
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["done"], F.flatten(F.transform(F.element_at(acc["window"], -1)["path"], lambda p: p["ids"])))
+    by_end = "array<struct<end:int,i:int,score:double,key:bigint,inner:array<bigint>>>"
+    edges = F.transform("edges", lambda e: F.struct(*(e[x].alias(x) for x in ("end", "i", "score", "key", "inner")))).cast(by_end)
+    if bpe:
+        longer = F.filter(edges, lambda e: e["end"] - e["i"] > 1)
+        no_merge = (F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("array<bigint>").alias("inner"))
+        alone = F.transform(F.sequence(F.lit(1), n), lambda p: F.struct(p.alias("end"), (p - 1).alias("i"), F.lit(0.0).alias("score"), *no_merge))
+        edges = F.concat(longer, alone.cast(by_end))
+    return F.aggregate(F.sort_array(edges), start, step, lambda acc: F.concat(acc["done"], F.element_at(acc["window"], -1)["path"]))
 
-    by_end = F.sort_array(F.transform("edges", lambda e: F.struct(*(e[x].alias(x) for x in ("end", "i", "ids", "score", "keys")))))
-    return F.aggregate(by_end, start, step, finish)
 
-
-def dictionary(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``unit, n, ids`` for every unit of ``units`` (unit, n)."""
+def paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``unit, n, cuts``: where the pieces of each unit end."""
     spark = units.sparkSession
     longest = max((len(vocabulary.pieces[i]) for i in vocabulary.plain), default=1)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // PART_UNITS))
-    unknown = min((vocabulary.scores[i] for i in vocabulary.plain), default=0.0) - UNKNOWN_PENALTY
-    found = lattice(units.repartition(parts, "unit"), piece_table(spark, vocabulary), longest, vocabulary.byte_ids, unknown)
+    bpe = vocabulary.model_type == BPE
+    found = lattice(units.repartition(parts, "unit"), piece_table(spark, vocabulary), longest, not bpe)
     n = F.length("unit")
-    if vocabulary.model_type == BPE:
-        small = (n <= BITS) & (F.size("edges") - n <= BITS)
-        ids = F.when(small, viterbi_bits(n)).otherwise(viterbi_any(longest, True))
+    if bpe:
+        small = (n <= BITS) & (F.size("edges") <= BITS + 1)
+        cuts = F.when(small, viterbi_bits(n)).otherwise(viterbi_any(n, longest, True))
     else:
-        ids = viterbi_any(longest, False)
-    return found.select("unit", "n", ids.alias("ids"))
+        unknown = min((vocabulary.scores[i] for i in vocabulary.plain), default=0.0) - UNKNOWN_PENALTY
+        cuts = viterbi_any(n, longest, False, unknown)
+    return found.select("unit", "n", cuts.alias("cuts"))
+
+
+def dictionary(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``unit, n, ids`` for every unit of ``units`` (unit, n); a character without a piece has the ids of its bytes."""
+    schema = "unit string, n long, ids array<int>"
+    arrow = arrow_schema(schema)
+    of_bytes = vocabulary.byte_ids
+    known = {vocabulary.pieces[i]: [i] for i in vocabulary.plain}
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = []
+            for u, cuts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                at, own = 0, []
+                for end in cuts:
+                    p = u[at:end]
+                    own += known.get(p) or [of_bytes[x] for x in p.encode()]
+                    at = end
+                ids.append(own)
+            yield to_batch({"unit": b.column(0), "n": b.column(1), "ids": ids}, arrow)
+
+    return paths(units, vocabulary).mapInArrow(name, schema)
 
 
 # --- encoding and decoding whole texts -------------------------------------------------------------------
@@ -453,13 +467,12 @@ class Head:
         yield np.append(at - at[0], at[-1] - at[0]).astype("<i8").tobytes()
         yield ids.buffers()[2].to_pybytes()[at[0] : at[-1]] if len(ids) else b""
 
-    def find(self, units: pa.Array) -> np.ndarray:
+    def find(self, units: Collection[str]) -> np.ndarray:
         """Place of each unit's entry; the place after the last, which is empty, for those that are missing."""
         import xxhash
 
         digest, none = xxhash.xxh64_intdigest, len(self.digests)
-        data = units.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        d = np.fromiter((digest(u, 42) for u in data), np.uint64, len(data)).view(np.int64)
+        d = np.fromiter((digest(u.encode(), 42) for u in units), np.uint64, len(units)).view(np.int64)
         if not none:
             return np.zeros(len(units), np.int64)
         by = np.argsort(d)  # neighbours in the file after each other
@@ -600,8 +613,8 @@ class _Book:
 
     def words(self, found: Words) -> tuple[pa.Array, np.ndarray]:
         """Ids, as bytes, of each word, and whether the head lacks one of its units."""
-        units = pa.array(found.units, pa.string()).dictionary_encode()
-        at = self.head.find(units.dictionary)[units.indices.to_numpy()]
+        distinct = {u: i for i, u in enumerate(dict.fromkeys(found.units))}
+        at = self.head.find(distinct)[np.fromiter(map(distinct.__getitem__, found.units), np.int64, len(found.units))]
         flat = self.head.entries.take(pa.array(at))
         firsts = np.cumsum(found.sizes) - found.sizes
         ends = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
@@ -635,7 +648,7 @@ class _Book:
         """Ids of a text whose blanks or rare units need more care; ``own`` has the units that the head lacks."""
         units = self.splitter.text(text)
         names = list(set(units) - own.keys())
-        found = {u: self.head.one(at) for u, at in zip(names, self.head.find(pa.array(names, pa.string())).tolist(), strict=True)}
+        found = {u: self.head.one(at) for u, at in zip(names, self.head.find(names).tolist(), strict=True)}
         found |= {u: np.array(x, dtype).tobytes() for u, x in own.items()}
         return b"".join([found[u] for u in units])
 
@@ -659,14 +672,14 @@ def _missing(path: str, name: str):
             rare: dict[int, list[str]] = {}
             for w in np.flatnonzero(gone).tolist():
                 units = found.units[firsts[w] : firsts[w] + found.sizes[w]]
-                rare[w] = [u for u, at in zip(units, book.head.find(pa.array(units, pa.string())).tolist(), strict=True) if at == none]
+                rare[w] = [u for u, at in zip(units, book.head.find(units).tolist(), strict=True) if at == none]
             own: dict[int, set[str]] = {}
             hit = gone[found.codes]
             for i, w in zip(_rows(found, hit).tolist(), found.codes[hit].tolist(), strict=True):
                 own.setdefault(i, set()).update(rare[w])
             for i in found.odd:
                 units = list(set(book.splitter.text(column[i].as_py() or "")))
-                own[i] = {u for u, at in zip(units, book.head.find(pa.array(units, pa.string())).tolist(), strict=True) if at == none}
+                own[i] = {u for u, at in zip(units, book.head.find(units).tolist(), strict=True) if at == none}
             out: dict[str, list] = {"doc_id": [], "th": [], "unit": []}
             ids, hashes = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, units in own.items():

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, gathered, keep_freed_memory, materialize, scratch_path, small_batches, strings, to_batch, valid
+from .common import arrow_schema, gathered, joined, keep_freed_memory, materialize, scratch_path, small_batches, to_batch, valid
 
 MAX_LEN = 20
 BLOCK = 512
@@ -89,17 +89,24 @@ def decode_table(lengths: np.ndarray, max_len: int = MAX_LEN) -> np.ndarray:
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Code bits of ``ids`` and the bit offset of every block."""
-    n = lengths[ids]
+    n, c = lengths[ids], codes[ids]
+    if len(ids) & 1:
+        n, c = np.append(n, 0), np.append(c, np.uint64(0))
+    if not len(ids):
+        return bytes(16), np.zeros(0, np.int64)
+    # two codes at a time, put into words of 64 bits
+    value = (c[::2] << n[1::2].astype(np.uint64)) | c[1::2]
+    n = n[::2] + n[1::2]
     ends = np.cumsum(n)
     starts = ends - n
-    total = int(ends[-1]) if len(ids) else 0
-    value = codes[ids] << (64 - (starts & 31) - n).astype(np.uint64)
-    word = starts >> 5
-    size = total // 32 + 3
-    # the bits of one word are disjoint, so their sum is exact in a double
-    words = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), size)
-    words += np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), size)
-    return words.astype(">u4").tobytes(), starts[::BLOCK].astype(np.int64)
+    word, room = starts >> 6, 64 - (starts & 63) - n
+    over = room < 0
+    high = np.where(over, value >> (-room).clip(0).astype(np.uint64), value << room.clip(0).astype(np.uint64))
+    words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] = np.bitwise_or.reduceat(high, first)
+    words[word[over] + 1] |= value[over] << (64 + room[over]).astype(np.uint64)  # one code at most crosses into a word
+    return words.astype(">u8").tobytes(), starts[:: BLOCK // 2].astype(np.int64)
 
 
 def unpack(data: bytes, offsets: np.ndarray, n_tokens: int, table: np.ndarray, max_len: int = MAX_LEN) -> np.ndarray:
@@ -201,12 +208,12 @@ class BatchEncoder:
         codes = found.indices.to_numpy()
         counts = np.ones(n, np.int64)
         counts[even] = np.diff(lists.offsets.to_numpy())
-        names = strings(found.dictionary)
+        names = joined(found.dictionary, " ").split(" ") if len(found.dictionary) else []
         known = self.words(names)
         # the first word of a text has no blank
         at = (np.cumsum(counts[even]) - counts[even]).astype(np.int64)
         known += self.whole([names[c] for c in codes[at].tolist()])
-        known += self.whole(strings(plain.filter(pa.array(odd))))
+        known += self.whole(plain.filter(pa.array(odd)).to_pylist())
         ends = np.cumsum(counts + 1)
         starts = ends - counts - 1
         order = np.full(int(ends[-1]) if n else 0, len(known), np.int64)
