@@ -42,7 +42,7 @@ LENGTH_BITS, POSITION_BITS = 8, 32
 #: Dictionary entries that executors map from one file take so many bytes at most; rarer units are joined.
 HEAD_BYTES = 96 << 20
 #: Units of one lattice task: bounds the edges that it holds.
-PART_UNITS = 30_000
+PART_UNITS = 15_000
 #: Latin units over this length are cut wherever no piece has both neighbours.
 LONG_UNIT = 32
 #: Score of an unknown character in a unigram lattice, below the lowest piece.
