@@ -42,7 +42,7 @@ LENGTH_BITS, POSITION_BITS = 8, 32
 #: Dictionary entries that executors map from one file take so many bytes at most; rarer units are joined.
 HEAD_BYTES = 96 << 20
 #: Units of one lattice task: bounds the edges that it holds.
-PART_UNITS = 15_000
+PART_UNITS = 25_000
 #: Latin units over this length are cut wherever no piece has both neighbours.
 LONG_UNIT = 32
 #: Score of an unknown character in a unigram lattice, below the lowest piece.
@@ -484,8 +484,8 @@ class Head:
         return self.ids[self.ends[place] : self.ends[place + 1]].tobytes()
 
 
-def publish_head(words: DataFrame, head_bytes: int, n_ids: int) -> tuple[str, int]:
-    """Publish the most frequent entries that fit ``head_bytes``; the file's name and the least count of an entry in it.
+def publish_head(words: DataFrame, head_bytes: int, n_ids: int) -> tuple[str, bool]:
+    """Publish the most frequent entries that fit ``head_bytes``; the file's name, and whether it has all entries.
 
     Ranks of counts come from a histogram of logarithmic buckets, whose number does not grow.
     """
@@ -493,18 +493,18 @@ def publish_head(words: DataFrame, head_bytes: int, n_ids: int) -> tuple[str, in
     width = 2 if n_ids <= 1 << 16 else 4
     bucket = F.floor(F.log2(F.col("n")) * 4)
     rows = words.groupBy(bucket.alias("b")).agg(F.sum(20 + width * F.size("ids")).alias("bytes"), F.min("n").alias("n")).collect()
-    least, used = 1 << 62, 0
+    least, used, whole = 1 << 62, 0, True
     for r in sorted(rows, key=lambda r: -r["b"]):
         used += r["bytes"]
         if used > head_bytes:
+            whole = False
             break
         least = r["n"]
     keyed = words.select(F.xxhash64("unit").alias("d"), "n", "ids")
     shared = keyed.groupBy("d").agg(F.count("*").alias("c")).filter("c > 1").select("d")
-    shared = materialize(shared, "shared-digests")
     picked = keyed.filter(F.col("n") >= least)
     if not shared.isEmpty():
-        picked = picked.join(shared, "d", "left_anti")
+        picked, whole = picked.join(shared, "d", "left_anti"), False
     schema = "d long, ids binary"
     arrow = arrow_schema(schema)
 
@@ -518,7 +518,7 @@ def publish_head(words: DataFrame, head_bytes: int, n_ids: int) -> tuple[str, in
     got = picked.select("d", "ids").mapInArrow(narrow, schema).toArrow()  # head_bytes at most
     ids = got.column("ids").combine_chunks() if got.num_rows else pa.array([], pa.binary())
     ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
-    return publish(spark, Head.pack(got.column("d").to_numpy().astype(np.int64), ids, width), "pieces"), least
+    return publish(spark, Head.pack(got.column("d").to_numpy().astype(np.int64), ids, width), "pieces"), whole
 
 
 class Decoder:
@@ -569,9 +569,8 @@ def encode_decode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, colu
     vocabulary = load(path)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     words = materialize(dictionary(distinct_units(picked, path), vocabulary), "piece-dictionary")
-    name, least = publish_head(words, head_bytes, len(vocabulary.pieces))
-    shared = words.groupBy(F.xxhash64("unit").alias("d")).agg(F.count("*").alias("c"), F.min("n").alias("n"))
-    if shared.filter((F.col("c") > 1) | (F.col("n") < least)).isEmpty():
+    name, whole = publish_head(words, head_bytes, len(vocabulary.pieces))
+    if whole:
         picked = picked.select("*", F.lit(None).cast("array<string>").alias("units"), F.lit(None).cast("array<array<int>>").alias("unit_ids"))
     else:
         missing = picked.mapInArrow(_missing(path, name), "doc_id long, th long, unit string").distinct()
