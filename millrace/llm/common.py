@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +87,27 @@ def publish(spark: SparkSession, data: Iterable[bytes], kind: str) -> str:
     return path.getName()
 
 
+def pack_arrays(arrays: dict[str, np.ndarray]) -> Iterator[bytes]:
+    """A file of named arrays that ``map_arrays`` maps: a line that says where they are, then each at a multiple of 8."""
+    at, where = 0, {}
+    for name, a in arrays.items():
+        where[name] = [at, a.dtype.str, len(a)]
+        at += -(-a.nbytes // 8) * 8
+    head = json.dumps(where).encode()
+    head += b" " * (-(len(head) + 1) % 8) + b"\n"
+    yield head
+    for a in arrays.values():
+        yield a.tobytes() + bytes(-a.nbytes % 8)
+
+
+def map_arrays(path: str) -> dict[str, np.ndarray]:
+    data = np.memmap(path, np.uint8, "r")
+    with open(path, "rb") as f:
+        head = f.readline()
+    base = len(head)
+    return {name: data[base + at : base + at + n * np.dtype(kind).itemsize].view(kind) for name, (at, kind, n) in json.loads(head).items()}
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of a Python worker: an Arrow batch has so many bytes, but for one larger row.
 

@@ -1,25 +1,35 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all test items.
+"""Benchmark decontamination: one Aho-Corasick automaton over all test items.
 
 Texts and items are normalised alike: A-Z in lower case, words of letters, digits and bytes beyond ASCII, one
 blank between words. A window is ``WINDOW`` consecutive words of an item, or a whole shorter item. A document is
-scanned once; matches are mapped to its words and, since normalisation keeps byte positions until blanks are
-joined, to byte spans of the original text.
+scanned once, word by word; matches are mapped to its words and, since normalisation keeps byte positions until
+blanks are joined, to byte spans of the original text.
+
+Any window of an item holds one of the item's aligned blocks of half a window's words whole. The automaton's patterns
+are these blocks and the shorter items, and its letters are classes of words, so it has about one node for each word
+of the items. What it finds is looked up exactly: the windows around a block by their digests in a sorted array, then
+word by word. The arrays are one file that executors map.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow, raw, small_batches, to_batch
+from .common import arrow_schema, map_arrays, map_arrow, pack_arrays, publish, raw, small_batches, to_batch
 
 WINDOW = 10
-#: Item text of one automaton, in bytes; more items are scanned for in blocks, one automaton each.
-BLOCK_BYTES = 256 << 10
+#: Item text of one automaton, in bytes: an executor's node of it takes some 60 bytes. A benchmark beyond this is
+#: scanned for in parts, each with its automaton.
+BLOCK_BYTES = 32 << 20
+#: Letters of the automaton besides that of words that no item has.
+CLASSES = 255
 
 
 def _is_word(c: int) -> bool:
@@ -39,38 +49,133 @@ def windows(item: bytes, size: int = WINDOW) -> set[tuple[bytes, ...]]:
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
+def digests(ids: np.ndarray, size: int) -> np.ndarray:
+    """A digest of each ``size`` consecutive ids."""
+    n = max(0, len(ids) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h = (h ^ ids[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def index(items: list[tuple[str, bytes]], size: int = WINDOW) -> dict[str, np.ndarray]:
+    """The arrays of ``Automaton`` for items (name, text)."""
+    ids: dict[bytes, int] = {}
+    long: list[list[int]] = []
+    short: dict[tuple[int, ...], set[int]] = {}
+    of: list[int] = []
+    for k, (_, text) in enumerate(items):
+        own = [ids.setdefault(w, len(ids) + 1) for w in words(text)]
+        if len(own) >= size:
+            long.append(own)
+            of.append(k)
+        elif own:
+            short.setdefault(tuple(own), set()).add(k)
+    lengths = np.array([len(x) for x in long], np.int64)
+    text = np.fromiter((i for x in long for i in x), np.int32, int(lengths.sum()))
+    first = np.cumsum(lengths) - lengths
+    at = np.concatenate([np.arange(s, s + n - size + 1) for s, n in zip(first.tolist(), lengths.tolist(), strict=True)] or [np.zeros(0, np.int64)])
+    item = np.repeat(np.array(of, np.int64), lengths - size + 1)
+    d = digests(text, size)[at]
+    order = np.lexsort((at, d))
+    d, at, item = d[order], at[order], item[order]
+    same = np.zeros(len(d), bool)  # the window before it, word by word
+    if len(d):
+        same[1:] = d[1:] == d[:-1]
+        for k in range(size):
+            same[1:] &= text[at[1:] + k] == text[at[:-1] + k]
+    starts = np.flatnonzero(~same)
+    block = max(1, size // 2)
+    blocks = np.concatenate([np.arange(s, s + n - block + 1, block) for s, n in zip(first.tolist(), lengths.tolist(), strict=True)] or [np.zeros(0, np.int64)])
+    if len(blocks):
+        blocks = blocks[np.unique(np.stack([text[blocks + k] for k in range(block)], 1), axis=0, return_index=True)[1]]
+    tail = [(i, sorted(x)) for i, x in short.items()]
+    flat = lambda lists, kind: np.fromiter((y for x in lists for y in x), kind)
+    ends = lambda lists: np.cumsum([0, *map(len, lists)]).astype(np.int64)
+    return {
+        "words": np.frombuffer(b" ".join(ids), np.uint8), "names": np.frombuffer(json.dumps([n for n, _ in items]).encode(), np.uint8),
+        "size": np.array([size], np.int64), "text": text, "blocks": blocks, "digests": d[starts], "at": at[starts],
+        "ends": np.append(starts, len(d)).astype(np.int64), "items": item, "short": flat((i for i, _ in tail), np.int32),
+        "short_ends": ends([i for i, _ in tail]), "short_items": flat((x for _, x in tail), np.int64), "short_items_ends": ends([x for _, x in tail]),
+    }
+
+
+class _Letters(dict):
+    def __missing__(self, word: bytes) -> str:
+        return "\0"
+
+
 class Automaton:
-    """The windows of some items; ``items[i]`` and ``sizes[i]`` belong to window i."""
+    """The windows of some items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW) -> None:
+    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
         import ahocorasick
 
-        of: dict[tuple[bytes, ...], set[str]] = {}
-        for name, text in items:
-            for w in windows(text, size):
-                of.setdefault(w, set()).add(name)
-        self.items = [sorted(x) for x in of.values()]
-        self.sizes = [len(w) for w in of]
+        self.a = arrays
+        self.size = int(arrays["size"][0])
+        self.block = max(1, self.size // 2)
+        self.names = json.loads(arrays["names"].tobytes())
+        known = arrays["words"].tobytes().split()
+        self.ids = {w: i for i, w in enumerate(known, 1)}
+        self.letters = _Letters((w, chr(1 + i % CLASSES)) for w, i in self.ids.items())
+        letter = np.array([chr(1 + i % CLASSES) for i in range(len(known) + 1)])
         self.auto = ahocorasick.Automaton()
-        for i, w in enumerate(of):
-            # bytes as Latin-1 text: one character each
-            self.auto.add_word((b" " + b" ".join(w) + b" ").decode("latin-1"), i)
-        if of:
+        # a pattern's value: its length in words, and the short items that it may be
+        for s in arrays["blocks"].tolist():
+            self.auto.add_word("".join(letter[arrays["text"][s : s + self.block]]), (self.block, ()))
+        ends = arrays["short_ends"].tolist()
+        for k, (s, e) in enumerate(zip(ends, ends[1:])):  # noqa: B905
+            key = "".join(letter[arrays["short"][s:e]])
+            n, others = self.auto.get(key, (e - s, ()))
+            seed = n == self.block and key in self.auto and (not others or others[0] < 0)
+            self.auto.add_word(key, (e - s, ((-1,) if seed and not others else ()) + others + (k,)))
+        self.empty = not len(self.auto)
+        if not self.empty:
             self.auto.make_automaton()
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[str]]:
         """Number of words, matches as (first, last) word, names of items with a match."""
         w = words(text)
-        if not w or not self.sizes:
+        if not w or self.empty:
             return len(w), [], []
-        joined = b" " + b" ".join(w) + b" "
-        found = list(self.auto.iter(joined.decode("latin-1")))
+        found = list(self.auto.iter("".join(map(self.letters.__getitem__, w))))
         if not found:
             return len(w), [], []
-        blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        last = np.searchsorted(blanks, [e for e, _ in found]) - 1
-        spans = sorted({(int(k) - self.sizes[i] + 1, int(k)) for k, (_, i) in zip(last, found, strict=True)})
-        return len(w), spans, sorted({n for _, i in found for n in self.items[i]})
+        ids = np.fromiter((self.ids.get(x, 0) for x in w), np.int32, len(w))
+        spans: set[tuple[int, int]] = set()
+        items: set[int] = set()
+        starts: set[int] = set()
+        a = self.a
+        for end, (n, short) in found:
+            if not short or short[0] < 0:  # a block: any window around it
+                starts.update(range(max(0, end + 1 - self.size), min(end - n + 1, len(w) - self.size) + 1))
+            for k in short:
+                if k >= 0 and (ids[end - n + 1 : end + 1] == a["short"][a["short_ends"][k] : a["short_ends"][k + 1]]).all():
+                    spans.add((end - n + 1, end))
+                    items.update(a["short_items"][a["short_items_ends"][k] : a["short_items_ends"][k + 1]].tolist())
+        if starts:
+            s = np.fromiter(sorted(starts), np.int64)
+            d = digests(ids, self.size)[s]
+            left, right = (np.searchsorted(a["digests"], d, side) for side in ("left", "right"))
+            for i in np.flatnonzero(left < right).tolist():
+                at = int(s[i])
+                for j in range(int(left[i]), int(right[i])):  # more than one only where digests collide
+                    p = int(a["at"][j])
+                    if (a["text"][p : p + self.size] == ids[at : at + self.size]).all():
+                        spans.add((at, at + self.size - 1))
+                        items.update(a["items"][a["ends"][j] : a["ends"][j + 1]].tolist())
+        return len(w), sorted(spans), sorted({self.names[i] for i in items})
+
+
+_automata: dict[str, Automaton] = {}
+
+
+def _automaton(name: str) -> Automaton:
+    if name not in _automata:
+        _automata.clear()
+        _automata[name] = Automaton(map_arrays(SparkFiles.get(name)))
+    return _automata[name]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -116,15 +221,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
     leaves all documents clean; an empty table gives no rows. Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     parts = []
     for items in _blocks(benchmark, block_bytes):
-        shared = sc.broadcast(items)  # block_bytes at most, but for one larger item
+        name = publish(docs.sparkSession, pack_arrays(index(items, size)), "items")
         arrow = arrow_schema(_SCAN)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, arrow=arrow) -> Iterator[pa.RecordBatch]:
-            auto = Automaton(shared.value, size)
+        def run(batches: Iterator[pa.RecordBatch], name=name, arrow=arrow) -> Iterator[pa.RecordBatch]:
+            auto = _automaton(name)
             for b in batches:
                 rows = raw(b.column(2))
                 found = [auto.scan(x) for x in rows]

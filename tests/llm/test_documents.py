@@ -139,24 +139,66 @@ def brute_hits(text, items, size=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 18, 2_000])
+@pytest.mark.parametrize("block_bytes", [1 << 25, 2_000])
 def test_decontamination_brute_force(docs, spark, sf, block_bytes):
+    """Every document whole: a set of all windows as tuples says the same."""
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    items = [(r.item_id, r.text) for r in bench.collect()]
-    some = docs.filter("length(text) < 3000")
-    got = {r.doc_id: r for r in decontaminate.decontaminate(some, bench, block_bytes=block_bytes).collect()}
+    windows = {}
+    for r in bench.collect():
+        v = WORD.findall(lower(r.text))
+        for i in range(max(1, len(v) - 9)) if v else []:
+            windows.setdefault(tuple(v[i : i + 10]), set()).add(str(r.item_id))
+    sizes = sorted({len(x) for x in windows})
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, block_bytes=block_bytes).collect()}
     hits = 0
-    for r in some.collect():
-        n, hit, names = brute_hits(r.text, items)
+    for r in docs.collect():
+        w, hit, names = WORD.findall(lower(r.text)), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    names |= found
         g = got[r.doc_id]
-        assert (g.n_words, g.n_hit, list(g["items"])) == (n, hit, names)
+        assert (g.n_words, g.n_hit, list(g["items"])) == (len(w), len(hit), sorted(names))
         raw = (r.text or "").encode()
         covered = [raw[a:b] for a, b in zip(g.spans[::2], g.spans[1::2], strict=True)]
-        assert sum(len(decontaminate.words(c)) for c in covered) == hit
+        assert sum(len(decontaminate.words(c)) for c in covered) == len(hit)
         hits += bool(hit)
     assert hits
 
 
+def test_decontamination_against_every_position(tmp_path):
+    """Short items, items that share windows, repeated words: against comparison at every position."""
+    import random
+
+    from millrace.llm.common import map_arrays, pack_arrays
+
+    rng = random.Random(4)
+    few = [f"w{i}" for i in range(4)]
+    for trial in range(60):
+        items = [(str(i % 9), " ".join(rng.choice(few) for _ in range(rng.choice([0, 1, 2, 3, 5, 6, 9, 14])))) for i in range(12)]
+        path = tmp_path / str(trial)
+        size = rng.choice([2, 3, 4, 10])
+        path.write_bytes(b"".join(pack_arrays(decontaminate.index([(n, x.encode()) for n, x in items], size))))
+        auto = decontaminate.Automaton(map_arrays(str(path)))
+        text = " ".join(rng.choice([*few, "other"]) for _ in range(60))
+        n, spans, names = auto.scan(text.encode())
+        covered = sum(b - a + 1 for a, b in decontaminate.merge(spans))
+        assert (n, covered, names) == brute_hits(text, items, size)
+
+
+def test_decontamination_reads_once(docs, spark):
+    """A benchmark of megabytes is one automaton: one scan of the documents."""
+    rows = [(i, " ".join(f"x{(i * 7919 + k * 31) % 99991}" for k in range(200))) for i in range(2_000)]
+    planted = [(1, "some words before " + rows[77][1][300:800] + " and after"), (2, "nothing of it")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    found = decontaminate.decontaminate(spark.createDataFrame(planted, "doc_id long, text string"), bench)
+    by = {r.doc_id: r for r in found.collect()}
+    assert by[1].n_hit > 50 and "77" in by[1]["items"] and by[2].n_hit == 0
+    plan = decontaminate.decontaminate(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_decontamination_odd(odd, none, spark):
     bench = spark.createDataFrame([(1, "Quick BROWN fox"), (2, ""), (3, None), (None, "no document"), (2, "lazy dog again")], "item_id long, text string")
     got = decontaminate.op3(odd, bench).collect()
