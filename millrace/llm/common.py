@@ -7,6 +7,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch.
 BATCH_BYTES = 2 << 20
+#: Rows that the Parquet reader decodes at once.
+READ_ROWS = 512
 #: Bytes of text that are gathered from short batches to be worked on at once.
 GATHER = 8 << 20
 
@@ -108,12 +111,28 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
     return {name: data[base + at : base + at + n * np.dtype(kind).itemsize].view(kind) for name, (at, kind, n) in json.loads(head).items()}
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs that run within."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: an Arrow batch has so many bytes, but for one larger row.
+    """Bound the memory of tasks over long texts, in the JVM and in Python workers.
 
-    The session keeps this, since results are lazy; a batch of whatever other rows is bounded alike.
+    An Arrow batch has ``BATCH_BYTES`` bytes, but for one larger row, and the Parquet reader decodes ``READ_ROWS`` rows
+    at a time. The session keeps both, since results are lazy; they change no result.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 #: Sites from which a line counts as boilerplate.
 MIN_SITES = 6
@@ -66,6 +66,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     that repeat a doc_id and a text are treated alike. Other columns of ``docs`` pass through (but for columns
     named n_lines or n_cut, which are replaced). Empty table: no rows.
     """
+    small_batches(docs.sparkSession)
     base = docs.drop("n_lines", "n_cut")
     lines, found = spread(base, min_sites)
     found = materialize(found, "line-boilerplate")

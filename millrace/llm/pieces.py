@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, gathered, joined, keep_freed_memory, materialize, publish, raw, small_batches, to_batch, valid
+from .common import arrow_schema, gathered, joined, keep_freed_memory, materialize, publish, raw, setting, small_batches, to_batch, valid
 
 #: SentencePiece's stand-in for a blank, and the kinds of pieces and models of its file format (fixed values).
 BLANK = "▁"
@@ -42,7 +42,7 @@ LENGTH_BITS, POSITION_BITS = 8, 32
 #: Dictionary entries that executors map from one file take so many bytes at most; rarer units are joined.
 HEAD_BYTES = 96 << 20
 #: Units of one lattice task: bounds the edges that it holds.
-PART_UNITS = 25_000
+PART_UNITS = 8_000
 #: Latin units over this length are cut wherever no piece has both neighbours.
 LONG_UNIT = 32
 #: Score of an unknown character in a unigram lattice, below the lowest piece.
@@ -568,7 +568,10 @@ def encode_decode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, colu
     spark = docs.sparkSession
     vocabulary = load(path)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    words = materialize(dictionary(distinct_units(picked, path), vocabulary), "piece-dictionary")
+    # edges are grouped by sorting, which holds less than two hash tables of lists; many small parts a task, one by one
+    with setting(spark, "spark.sql.execution.useObjectHashAggregateExec", "false"):
+        found = dictionary(distinct_units(picked, path), vocabulary).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        words = materialize(found, "piece-dictionary")
     name, whole = publish_head(words, head_bytes, len(vocabulary.pieces))
     if whole:
         picked = picked.select("*", F.lit(None).cast("array<string>").alias("units"), F.lit(None).cast("array<array<int>>").alias("unit_ids"))
