@@ -7,28 +7,28 @@ digests, and the stored string is compared, so that a collision decides nothing.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_dir, texts
+from .common import map_arrow, publish, texts
 
 #: Path rules of the query's contract.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-#: Words of host labels that the default list blocks: spam, gambling, adult and tracking sites.
-BLOCKED_LABELS = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track")
-BLOCKED_ZONES = ("example.com", "example.net", "example.org")
-#: Beyond this the list isn't sent to executors as one file.
-MAX_BYTES = 256 << 20
+#: Bytes of one file of a list; a longer list is several files, each mapped and probed.
+SHARD_BYTES = 32 << 20
 VERDICTS = ("allow", "block")
 
 
-def blocked_hosts() -> list[str]:
-    return [f"{a}.{z}" for a in BLOCKED_LABELS for z in BLOCKED_ZONES]
+def blocked_hosts(path: str | Path = Path(__file__).with_name("blocked_hosts.txt")) -> list[str]:
+    """Hosts of a list file: one a line, ``#`` begins a comment."""
+    with open(path, encoding="utf-8") as f:
+        return [x for line in f if (x := line.split("#")[0].strip())]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -52,9 +52,14 @@ def digests(keys: list[bytes]) -> np.ndarray:
 def pack(rules: Iterable[tuple[str, str]]) -> bytes:
     """The file: counts, sorted digests, string offsets, verdicts, path lengths in use, strings.
 
-    A rule is (host + path, verdict); without ``/`` it is a host that fits any path, even an empty one.
+    A rule is (host + path, verdict); without ``/`` it is a host that fits any path, even an empty one. A rule with
+    both verdicts blocks.
     """
-    found = sorted({r.encode(): VERDICTS.index(v) for r, v in rules}.items())
+    both: dict[bytes, int] = {}
+    for rule, v in rules:
+        key = rule.encode("utf-8", "surrogatepass")
+        both[key] = max(both.get(key, 0), VERDICTS.index(v))
+    found = sorted(both.items())
     keys = [k for k, _ in found]
     d = digests(keys)
     order = np.argsort(d, kind="stable")
@@ -91,78 +96,97 @@ class DigestArray:
                     out[i] = j
         return out
 
-    def judge(self, urls: list[str | None], default: str = "allow") -> list[tuple[str, str, str | None, str]]:
-        """(host, path, longest fitting entry or None, verdict) of each URL."""
-        parts = [split_url(u) for u in urls]
-        keys: dict[bytes, int] = {}
-        of: list[list[tuple[int, str]]] = []
-        for host, path in parts:
-            own = []
-            at = 0
-            while host:
-                for n in self.path_lengths:
-                    if n <= len(path):
-                        key = host[at:] + path[:n]
-                        own.append((keys.setdefault(key.encode("utf-8", "surrogatepass"), len(keys)), key))
-                at = host.find(".", at) + 1
-                if not at:
-                    break
-            of.append(own)
-        found = self.find(list(keys))
-        out = []
-        for (host, path), own in zip(parts, of, strict=True):
-            hits = [(len(key), key, int(found[i])) for i, key in own if found[i] >= 0]
-            if hits:
-                _, key, j = max(hits)
-                out.append((host, path, key, VERDICTS[int(self.verdicts[j])]))
-            else:
-                out.append((host, path, None, default))
-        return out
+
+def judge_urls(lists: list[DigestArray], urls: list[str | None], default: str = "allow") -> list[tuple[str, str, str | None, str]]:
+    """(host, path, longest fitting entry or None, verdict) of each URL, by all files of a list."""
+    parts = [split_url(u) for u in urls]
+    lengths = sorted({n for x in lists for n in x.path_lengths})
+    keys: dict[bytes, int] = {}
+    of: list[list[tuple[int, str]]] = []
+    for host, path in parts:
+        own = []
+        at = 0
+        while host:
+            for n in lengths:
+                if n <= len(path):
+                    key = host[at:] + path[:n]
+                    own.append((keys.setdefault(key.encode("utf-8", "surrogatepass"), len(keys)), key))
+            at = host.find(".", at) + 1
+            if not at:
+                break
+        of.append(own)
+    verdict = np.full(len(keys), -1, np.int64)
+    probes = list(keys)
+    for x in lists:
+        found = x.find(probes)
+        hit = found >= 0
+        verdict[hit] = x.verdicts[found[hit]]
+    out = []
+    for (host, path), own in zip(parts, of, strict=True):
+        hits = [(len(key), key, int(verdict[i])) for i, key in own if verdict[i] >= 0]
+        if hits:
+            _, key, v = max(hits)
+            out.append((host, path, key, VERDICTS[v]))
+        else:
+            out.append((host, path, None, default))
+    return out
+
+
+def publish_list(spark: SparkSession, rules: DataFrame | Iterable[tuple[str, str]], shard_bytes: int = SHARD_BYTES) -> list[str]:
+    """Files of a list of (rule, verdict) in the shared folder, fetched by every executor; their names.
+
+    A table's rules are gathered file by file, so the driver holds ``shard_bytes`` of them at a time.
+    """
+    if not isinstance(rules, DataFrame):
+        return [publish(spark, [pack(rules)], "digests")]
+    rows = rules.select(F.col(rules.columns[0]).cast("string").alias("rule"), F.col(rules.columns[1]).cast("string").alias("verdict")).filter(F.col("rule").isNotNull())
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("rule") + 24), F.lit(0))).first()[0]
+    k = max(1, -(-total // shard_bytes))
+    names = []
+    for i in range(k):
+        part = rows if k == 1 else rows.filter(F.pmod(F.xxhash64("rule"), F.lit(k)) == i)
+        names.append(publish(spark, [pack((r["rule"], r["verdict"]) for r in part.toLocalIterator())], "digests"))
+    return names
 
 
-def publish(spark: SparkSession, data: bytes) -> str:
-    """Write the file to the shared folder and have every executor fetch it; the name to map it by."""
-    if len(data) > MAX_BYTES:
-        raise ValueError(f"a digest file of {len(data)} bytes is over the bound of {MAX_BYTES}; split the list by host suffix")
-    name = f"digests-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path.getParent())
-    out = fs.create(path, True)
-    out.write(bytearray(data))
-    out.close()
-    spark.sparkContext.addFile(path.toString())
-    return name
+_mapped: dict[str, DigestArray] = {}
 
 
-_mapped: dict[str, tuple[DigestArray, DigestArray]] = {}
+def _lists(names: list[str], kept: list[str]) -> list[DigestArray]:
+    for gone in _mapped.keys() - set(kept):
+        del _mapped[gone]
+    for n in names:
+        if n not in _mapped:
+            _mapped[n] = DigestArray(SparkFiles.get(n))
+    return [_mapped[n] for n in names]
 
 
 def judge(
     pages: DataFrame,
-    rules: dict[str, str] = RULES,
-    blocked: Iterable[str] | None = None,
+    rules: dict[str, str] | DataFrame = RULES,
+    blocked: Iterable[str] | DataFrame = (),
     key: str = "page_id",
     url: str = "url",
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, listed`` of every row.
 
     rule: the longest path rule that fits, else null; its verdict holds. Otherwise the blocked hosts decide
-    (``listed``: the entry that fits, subdomains included), else the verdict is allow. A null URL has an empty
-    host and path and is allowed. Repeated rows are judged each; an empty table gives no rows; other columns
-    aren't read.
+    (``listed``: the entry that fits, subdomains included), else the verdict is allow. ``rules`` may be a table of
+    rules and verdicts and ``blocked`` a table whose first column has hosts, of any size: null entries are skipped, a
+    rule with both verdicts blocks. A null URL has an empty host and path and is allowed. Repeated rows are judged
+    each; an empty table gives no rows; other columns aren't read.
     """
     spark = pages.sparkSession
-    blocked = blocked_hosts() if blocked is None else blocked
-    names = (publish(spark, pack(rules.items())), publish(spark, pack((h, "block") for h in blocked)))
+    by = rules if isinstance(rules, DataFrame) else rules.items()
+    hosts = blocked.select(blocked.columns[0], F.lit("block")) if isinstance(blocked, DataFrame) else ((h, "block") for h in blocked)
+    first_names, host_names = publish_list(spark, by, shard_bytes), publish_list(spark, hosts, shard_bytes)
 
     def run(b: pa.RecordBatch) -> dict:
-        if names[0] not in _mapped:
-            _mapped.clear()
-            _mapped[names[0]] = tuple(DigestArray(SparkFiles.get(n)) for n in names)
-        by_rule, by_host = _mapped[names[0]]
+        every = [*first_names, *host_names]
+        by_rule, by_host = _lists(first_names, every), _lists(host_names, every)
         urls = [t if ok else None for ok, t in zip(b.column(1).is_valid().to_pylist(), texts(b.column(1)), strict=True)]
-        first, second = by_rule.judge(urls), by_host.judge(urls)
+        first, second = judge_urls(by_rule, urls), judge_urls(by_host, urls)
         return {
             "page_id": b.column(0),
             "host": [x[0] for x in first],
@@ -177,4 +201,4 @@ def judge(
 
 
 def op6(pages: DataFrame) -> DataFrame:
-    return judge(pages)
+    return judge(pages, blocked=blocked_hosts())

@@ -45,14 +45,28 @@ def test_collisions_decide_nothing(monkeypatch):
     a = url_filter.DigestArray(url_filter.pack(url_filter.RULES.items()))
     for u in URLS:
         want = brute_judge(u)
-        assert a.judge([u])[0][:3] == want[:3]
+        assert url_filter.judge_urls([a], [u])[0][:3] == want[:3]
 
 
 def test_mapped_file(tmp_path):
     f = tmp_path / "digests"
     f.write_bytes(url_filter.pack((h, "block") for h in url_filter.blocked_hosts()))
-    assert url_filter.DigestArray(str(f)).judge(["http://m.adult-x.example.com"])[0][3] == "block"
-    assert url_filter.DigestArray(url_filter.pack([])).judge(["http://a.b/"])[0][3] == "allow"
+    assert url_filter.judge_urls([url_filter.DigestArray(str(f))], ["http://m.adult-x.example.com"])[0][3] == "block"
+    assert url_filter.judge_urls([url_filter.DigestArray(url_filter.pack([]))], ["http://a.b/"])[0][3] == "allow"
+
+
+def test_lists_of_any_length(spark):
+    """Tables of rules and hosts in many files: verdicts are those of a set lookup."""
+    from pyspark.sql import functions as F
+
+    hosts = spark.range(200_000).select(F.concat(F.lit("h"), "id", F.lit(".example.net")).alias("host")).union(spark.createDataFrame([(None,), ("h5.example.net",)], "host string"))
+    rules = spark.createDataFrame([("h7.example.net/ok/", "allow"), ("h8.example.net/", "block"), ("h8.example.net/", "allow"), (None, "block")], "rule string, verdict string")
+    urls = [f"http://www.h{i * 1009}.example.net/ok/x" for i in range(400)] + ["http://h7.example.net/ok/1", "http://h7.example.net/no", "https://h8.example.net/", "x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(pages, rules, hosts, shard_bytes=1 << 20).collect()}
+    assert all((got[i].verdict == "block") == (i * 1009 < 200_000) for i in range(400))
+    assert [got[i].verdict for i in range(400, 404)] == ["allow", "block", "block", "allow"]
+    assert got[402].rule == "h8.example.net/" and got[401].listed == "h7.example.net"
 
 
 # --- HTML ------------------------------------------------------------------------------------------------
