@@ -3,12 +3,17 @@
 Pages of one host are aligned by simple tree matching: two trees match node by node, children in order, by the
 best-scoring alignment of their child lists. Runs of like siblings count as one repeated node, so lists and
 paragraphs of any number align. The aligned tree of a host (its wrapper) keeps for every node how many pages
-have it and whether its text varies. Nodes with the same text on the host's pages are template; slots whose text
-varies are content. Wrappers merge, so tasks build partial ones and only those are shuffled.
+have it and whether its text varies. Nodes with the same text on most of the host's pages are template; slots whose
+text varies are content.
 
-A page's content root is its ``article`` or ``main`` element, else the wrapper node that holds most varying
-text. Elements that are boilerplate by their kind (menus, headers, footers, forms, scripts, ...) or by a class,
-id or role that says so are left out everywhere.
+Pages of one shape align node by node, and their counts add up in any order; only wrappers of different shapes are
+matched, in the order of the shapes' hashes. So a host's wrapper doesn't depend on how its pages are dealt out.
+
+On a host of ``MIN_PAGES`` distinct pages or more the wrapper decides: the content root is the node that holds most of
+the varying text, narrowed or widened to ``article`` or ``main`` elements where they agree with it, and template
+nodes go whatever their tags. On smaller hosts those elements, or the body, are the root. Elements whose
+kind, role or class says that they are menus, footers, forms, scripts, adverts or reader comments go everywhere; a
+class or id says so only if all its words do.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from dataclasses import dataclass, field
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, materialize, small_batches, texts, to_batch
@@ -50,18 +55,35 @@ BOILERPLATE = frozenset(
     "noscript object option script select style svg template textarea title".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of classes and ids that mark boilerplate.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice notices gdpr popup modal "
-    "overlay newsletter subscribe subscription share sharing social comment comments disqus reply replies related "
-    "recommended recommendations pagination pager widget toolbar login signup skip copyright legal".split()
-)
 TEXT_KINDS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li td th dd dt figcaption".split())
 # ---------------------------------------------------------------------------------------------------------
 
+#: Words of classes and ids that mark boilerplate, within the content too, ...
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu "
+    "breadcrumb breadcrumbs sidebar cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe "
+    "subscription share sharing comment comments disqus reply replies related recommended recommendations pagination pager "
+    "widget toolbar login signup".split()
+)
+#: ... and around it only.
+OUTER_MARKS = MARKS | frozenset("banner aside footer header masthead skip copyright legal".split())
+#: Words that may stand beside them.
+BESIDE = frozenset(
+    "area bar block blocks body bottom box btn button buttons container content fixed form group icon icons inline inner item "
+    "items left link links list main media module outer page panel post posts primary reader right row secondary section "
+    "site slot social text title top unit user users widgets wrap wrapper".split()
+)
+#: Elements that a content root can be in.
+CONTAINERS = (BLOCKS | {"html"}) - TEXT_KINDS
+#: Elements that a class or id can mark; headings, paragraphs and words in them say what they say.
+MARKED_KINDS = frozenset("div section ul ol dl table span figure details ins center menu dir fieldset a".split())
+
 #: Distinct pages of a host from which its wrapper tells template from content.
 MIN_PAGES = 3
+#: The content root is found by going down while one child holds so much of the varying text.
+DOMINANT = 0.7
+#: Template stands on so many of a host's pages, as a share.
+TEMPLATE_SHARE = 0.5
 #: A partial wrapper set of a task is passed on when it has so many hosts.
 HOSTS = 2_000
 #: Wrappers that are sent to all executors take so many bytes at most.
@@ -84,32 +106,45 @@ class Node:
     tag: str
     marks: frozenset[str] = frozenset()
     role: str = ""
+    told: int = 0  # by class or id: 1 boilerplate around the content, 2 within it too
     children: list = field(default_factory=list)  # of Node and str
 
-    def boilerplate(self) -> bool:
+    def boilerplate(self, within: bool = False) -> bool:
+        """Furniture by kind, role or mark; ``within`` the content a header with a heading is the article's own."""
         if self.tag in BOILERPLATE:
-            # a header or footer inside an article is that of the page's furniture too
-            return True
-        return self.role in ROLES or (bool(self.marks & MARKS) and self.tag not in ("html", "body", "article", "main"))
+            return not (within and self.tag == "header" and any(n.tag in ("h1", "h2") for n in _walk(self)))
+        return self.role in ROLES or (self.told > within and self.tag in MARKED_KINDS)
 
     def label(self) -> str:
         return self.tag + "." + ".".join(sorted(self.marks)) if self.marks else self.tag
 
 
-def _attributes(source: str) -> tuple[frozenset[str], str]:
+def _told(words: list[str]) -> int:
+    """What the words of one class or id say: 2 boilerplate anywhere, 1 around the content, 0 nothing."""
+    if not all(w in OUTER_MARKS or w in BESIDE for w in words):
+        return 0
+    return 2 if any(w in MARKS for w in words) else int(any(w in OUTER_MARKS for w in words))
+
+
+def _attributes(source: str) -> tuple[frozenset[str], str, int]:
     marks: set[str] = set()
     role = ""
+    told = 0
     for m in _ATTR.finditer(source):
         name = (m[1] or m[5] or "").lower()
         value = next((x for x in (m[2], m[3], m[4]) if x is not None), "")
         if name in ("class", "id"):
-            spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", html.unescape(value)).lower()
-            marks.update(w for w in _WORD.findall(spaced) if not w.isdigit())
+            spaced = re.sub(r"([a-z])([A-Z])", r"\1-\2", html.unescape(value)).lower()
+            names = spaced.split() if name == "class" else [spaced]
+            for one in names:
+                found = [w for w in _WORD.findall(one) if not w.isdigit()]
+                marks.update(found)
+                told = max(told, _told(found))
         elif name == "role":
             role = value.strip().lower()
         elif name in ("hidden", "aria-hidden") and value.strip().lower() in ("", "hidden", "true"):
-            marks.add("popup")
-    return frozenset(marks), role
+            role = role or "alert"  # isn't shown
+    return frozenset(marks), role, told
 
 
 def parse(source: str) -> Node:
@@ -178,34 +213,54 @@ def parse(source: str) -> Node:
 class Slot:
     """A node of a wrapper: on how many pages, the hash of its own text while that is the same, varying length."""
 
-    __slots__ = ("label", "pages", "same", "varying", "children")
+    __slots__ = ("label", "pages", "same", "varying", "children", "text", "fixed")
 
     def __init__(self, label: str, pages: int, same: int | None, varying: int, children: list[Slot]) -> None:
         self.label, self.pages, self.same, self.varying, self.children = label, pages, same, varying, children
+        self.text, self.fixed = 0, False  # see ``settle``
 
     def __reduce__(self):
         return Slot, (self.label, self.pages, self.same, self.varying, self.children)
 
 
+def _alike(x: Slot, y: Slot) -> bool:
+    """Neighbours that repeat one node: of one label and, but for paragraphs, items and the like, with like children."""
+    if x.label != y.label:
+        return False
+    return x.label.partition(".")[0] in TEXT_KINDS or x.label == "tr" or [c.label for c in x.children] == [c.label for c in y.children]
+
+
+def _shape(slot: Slot) -> int:
+    return _hash(f"{slot.label}({','.join([str(_shape(c)) for c in slot.children])})")
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
 
 
-def skeleton(node: Node) -> Slot:
-    """A page's tree for alignment: runs of like siblings are one node; each node knows its own text's hash."""
+def skeleton(node: Node, runs: dict[int, list[list[Node]]] | None = None) -> Slot:
+    """A page's tree for alignment: runs of like siblings are one node; each node knows its own text's hash.
+
+    runs: gets, by the id of a node, its child elements as its skeleton's children have them.
+    """
     own = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
     children: list[Slot] = []
+    of: list[list[Node]] = []
     for c in node.children:
         if isinstance(c, str):
             continue
-        s = skeleton(c)
-        if children and children[-1].label == s.label:
+        s = skeleton(c, runs)
+        if children and _alike(children[-1], s):
             last = children[-1]
             last.same = _hash(f"{last.same} {s.same}")
             last.varying += s.varying
             last.children = match(last.children, s.children, run=True)
+            of[-1].append(c)
         else:
             children.append(s)
+            of.append([c])
+    if runs is not None:
+        runs[id(node)] = of
     return Slot(node.label(), 1, _hash(own) if own else 0, len(own), children)
 
 
@@ -259,47 +314,56 @@ def merge(x: Slot, y: Slot, run: bool = False) -> Slot:
     return Slot(x.label, max(x.pages, y.pages) if run else x.pages + y.pages, same, x.varying + y.varying, match(x.children, y.children, run))
 
 
+def add_alike(x: Slot, y: Slot) -> Slot:
+    """Two trees of one shape as one, node by node."""
+    same = x.same if x.same == y.same else None
+    children = [add_alike(c, d) for c, d in zip(x.children, y.children, strict=True)]
+    return Slot(x.label, x.pages + y.pages, same, x.varying + y.varying, children)
+
+
 class Wrapper:
-    """The merged tree of a host, and up to ``MIN_PAGES`` hashes of distinct pages (the least)."""
+    """Aligned pages: their tree, up to ``MIN_PAGES`` hashes of distinct pages (the least), and the hash of their shape.
 
-    def __init__(self, tree: Slot, pages: list[int]) -> None:
-        self.tree, self.pages = tree, pages
+    Wrappers of one shape add up in any order; ``align`` gives the same wrapper for the same set of wrappers.
+    """
+
+    def __init__(self, tree: Slot, pages: list[int], shape: int) -> None:
+        self.tree, self.pages, self.shape = tree, pages, shape
 
     def add(self, other: Wrapper) -> Wrapper:
-        return Wrapper(merge(self.tree, other.tree), sorted({*self.pages, *other.pages})[:MIN_PAGES])
+        tree = add_alike(self.tree, other.tree) if self.shape == other.shape else merge(self.tree, other.tree)
+        return Wrapper(tree, sorted({*self.pages, *other.pages})[:MIN_PAGES], self.shape)
 
     def dump(self) -> bytes:
-        return pickle.dumps((self.tree, self.pages), 5)
+        return pickle.dumps((self.tree, self.pages, self.shape), 5)
 
     @staticmethod
     def load(data: bytes) -> Wrapper:
         return Wrapper(*pickle.loads(data))
 
+    def settled(self) -> Wrapper:
+        """With ``text`` and ``fixed`` of every slot, for extraction."""
+        settle(self.tree)
+        return self
 
-def page_wrapper(root: Node, source: str) -> Wrapper:
-    return Wrapper(skeleton(root), [_hash(source)])
 
+def page_wrapper(root: Node, source: str) -> Wrapper:
+    tree = skeleton(root)
+    return Wrapper(tree, [_hash(source)], _shape(tree) >> 1)
 
-# --- extraction ------------------------------------------------------------------------------------------
 
+def align(wrappers: list[Wrapper]) -> Wrapper:
+    """One wrapper of all: alike ones first, then shape by shape."""
+    shapes: dict[int, Wrapper] = {}
+    for w in wrappers:
+        shapes[w.shape] = shapes[w.shape].add(w) if w.shape in shapes else w
+    first, *rest = (shapes[k] for k in sorted(shapes))
+    for w in rest:
+        first = first.add(w)
+    return first
 
-def _template(node: Node, shape: Slot, slot: Slot, pages: int, out: set[int]) -> None:
-    """Ids of the nodes of a page that its wrapper knows as template: the same text, below too, on all pages.
 
-    shape: the page's own skeleton of ``node``, whose children are the runs of like siblings.
-    """
-    runs: list[list[Node]] = []
-    for c in node.children:
-        if isinstance(c, Node):
-            if runs and runs[-1][0].label() == c.label():
-                runs[-1].append(c)
-            else:
-                runs.append([c])
-    for i, y in _aligned(shape.children, slot.children):
-        if y.pages == pages and _constant(y):
-            out.update(id(n) for n in runs[i] if n.tag not in TEXT_KINDS and n.tag in BLOCKS)
-        elif len(runs[i]) == 1:
-            _template(runs[i][0], shape.children[i], y, pages, out)
+# --- extraction ------------------------------------------------------------------------------------------
 
 
 def _aligned(a: list[Slot], b: list[Slot]) -> list[tuple[int, Slot]]:
@@ -321,16 +385,15 @@ def _aligned(a: list[Slot], b: list[Slot]) -> list[tuple[int, Slot]]:
     return out
 
 
-def _constant(slot: Slot) -> bool:
-    return slot.same is not None and all(c.pages == slot.pages and _constant(c) for c in slot.children)
-
-
-def _has_text(slot: Slot) -> int:
-    """Varying text in a wrapper node and below, without what is boilerplate by kind."""
+def settle(slot: Slot) -> None:
+    """Fill in ``text``, the varying text of a slot and below without what is furniture by kind or mark, and ``fixed``:
+    the same text, below too, wherever it stands."""
+    for c in slot.children:
+        settle(c)
     tag, _, marks = slot.label.partition(".")
-    if tag in BOILERPLATE or MARKS & set(marks.split(".")):
-        return 0
-    return (slot.varying if slot.same is None else 0) + sum(map(_has_text, slot.children))
+    furniture = tag in BOILERPLATE or marks and tag in MARKED_KINDS and _told(marks.split("."))
+    slot.text = 0 if furniture else (slot.varying if slot.same is None else 0) + sum(c.text for c in slot.children)
+    slot.fixed = slot.same is not None and all(c.fixed and c.pages == slot.pages for c in slot.children)
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -341,8 +404,8 @@ def _walk(node: Node) -> Iterator[Node]:
         todo += [c for c in reversed(n.children) if isinstance(c, Node)]
 
 
-def content_roots(root: Node, wrapper: Wrapper | None) -> list[Node]:
-    """Where a page's main text is."""
+def _elements(root: Node) -> list[Node]:
+    """The ``article`` elements, else the ``main`` ones, that aren't in furniture."""
     for kind in ("article", "main"):
         todo, found = [root], []
         while todo:
@@ -353,26 +416,72 @@ def content_roots(root: Node, wrapper: Wrapper | None) -> list[Node]:
                 todo += [c for c in reversed(n.children) if isinstance(c, Node)]
         if found:
             return found
+    return []
+
+
+class Aligned:
+    """A page aligned with its host's wrapper: for each of its elements the slot, and which of them are template."""
+
+    def __init__(self, root: Node, wrapper: Wrapper) -> None:
+        self.slots: dict[int, Slot] = {}
+        self.parents: dict[int, Node] = {}
+        self.least = max(MIN_PAGES, TEMPLATE_SHARE * wrapper.tree.pages)
+        runs: dict[int, list[list[Node]]] = {}
+        todo = [(root, skeleton(root, runs), wrapper.tree)]
+        while todo:
+            node, shape, slot = todo.pop()
+            self.slots[id(node)] = slot
+            for i, y in _aligned(shape.children, slot.children):
+                own = runs[id(node)][i]
+                for n in own:
+                    self.parents[id(n)] = node
+                    self.slots[id(n)] = y
+                if len(own) == 1:
+                    todo.append((own[0], shape.children[i], y))
+
+    def template(self, node: Node) -> bool:
+        """The same text wherever it stands, and it stands on most pages."""
+        slot = self.slots.get(id(node))
+        return slot is not None and slot.fixed and slot.pages >= self.least
+
+    def root(self, root: Node) -> Node:
+        """Down from ``root``, as long as one child holds nearly all varying text."""
+        node = root
+        while (slot := self.slots.get(id(node))) is not None:
+            kids = [c for c in node.children if isinstance(c, Node) and id(c) in self.slots and not c.boilerplate()]
+            best = max(kids, key=lambda c: self.slots[id(c)].text, default=None)
+            if best is None or best.tag in TEXT_KINDS or best.tag not in CONTAINERS:
+                break
+            held = self.slots[id(best)]
+            if held.text < DOMINANT * slot.text or sum(self.slots[id(c)] is held for c in kids) > 1:
+                break
+            node = best
+        return node
+
+
+def content_roots(root: Node, aligned: Aligned | None) -> list[Node]:
+    """Where a page's main text is."""
+    found = _elements(root)
     body = next((n for n in _walk(root) if n.tag == "body"), root)
-    if wrapper is None or len(wrapper.pages) < MIN_PAGES:
-        return [body]
-    # down the wrapper, as long as one child holds nearly all varying text
-    node, slot = root, wrapper.tree
-    while True:
-        total = _has_text(slot)
-        best = max(slot.children, key=_has_text, default=None)
-        if best is None or total == 0 or _has_text(best) < 0.9 * total:
-            return [node]
-        kids = [c for c in node.children if isinstance(c, Node) and c.label() == best.label]
-        if len(kids) != 1:
-            return [node]
-        node, slot = kids[0], best
-
-
-def blocks(node: Node, skip: set[int]) -> list[str]:
-    """Texts of the blocks in page order."""
+    if aligned is None:
+        return found or [body]
+    chosen = aligned.root(root)
+    if not found:
+        return [chosen]
+    inside = {id(n) for n in _walk(chosen)}
+    if any(id(n) in inside for n in found):
+        return [n for n in found if id(n) in inside]
+    above, n = [], chosen
+    while (n := aligned.parents.get(id(n))) is not None:
+        above.append(id(n))
+    return [n for n in found if id(n) in above] or [chosen]
+
+
+def blocks(node: Node, aligned: Aligned | None) -> list[str]:
+    """Texts of the blocks in page order, without furniture and template."""
     out: list[str] = []
     now: list[str] = []
+    within = node.tag not in ("body", "html", "#root")
 
     def close() -> None:
         text = " ".join(html.unescape("".join(now)).split())
@@ -387,7 +496,7 @@ def blocks(node: Node, skip: set[int]) -> list[str]:
             now.append(x)
         elif x is None:
             close()
-        elif x is node or not (x.boilerplate() or id(x) in skip):
+        elif x is node or not (x.boilerplate(within) or (aligned is not None and x.tag in BLOCKS and aligned.template(x))):
             if x.tag == "br":
                 now.append(" ")
             elif x.tag in BLOCKS:
@@ -401,11 +510,13 @@ def blocks(node: Node, skip: set[int]) -> list[str]:
 
 
 def extract(source: str, wrapper: Wrapper | None) -> str:
+    """The main text of a page, given its host's settled wrapper. A content root without any varying text has no template: it is all that tells."""
     root = parse(source)
-    skip: set[int] = set()
-    if wrapper is not None and len(wrapper.pages) >= MIN_PAGES:
-        _template(root, skeleton(root), wrapper.tree, wrapper.tree.pages, skip)
-    found = [b for r in content_roots(root, wrapper) for b in blocks(r, skip)]
+    aligned = Aligned(root, wrapper) if wrapper is not None and len(wrapper.pages) >= MIN_PAGES else None
+    found = []
+    for node in content_roots(root, aligned):
+        slot = aligned.slots.get(id(node)) if aligned is not None else None
+        found += blocks(node, aligned if slot is not None and slot.text else None)
     return "\n".join(found)
 
 
@@ -414,13 +525,14 @@ def extract(source: str, wrapper: Wrapper | None) -> str:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """``host, wrapper``: one row for each host of ``pages`` (page_id, url, html)."""
-    partial = arrow_schema("host string, salt long, wrapper binary")
+    schema = "host string, shape long, wrapper binary"
+    partial = arrow_schema(schema)
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Wrapper] = {}
+        held: dict[tuple[str, int], Wrapper] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = {"host": list(held), "salt": [w.pages[0] & 15 for w in held.values()], "wrapper": [w.dump() for w in held.values()]}
+            rows = {"host": [h for h, _ in held], "shape": [k for _, k in held], "wrapper": [w.dump() for w in held.values()]}
             held.clear()
             return to_batch(rows, partial)
 
@@ -429,35 +541,50 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 root = parse(source)
                 if all(isinstance(c, str) for c in root.children):
                     continue  # no elements: nothing to align, and no page that could lack a template
-                host = split_url(url)[0]
                 w = page_wrapper(root, source)
-                held[host] = held[host].add(w) if host in held else w
+                key = split_url(url)[0], w.shape
+                held[key] = held[key].add(w) if key in held else w
             if len(held) >= HOSTS:
                 yield flush()
         if held:
             yield flush()
 
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple[str, int, Wrapper] | None = None
+    def together(batches: Iterator[pa.RecordBatch], salts: int) -> Iterator[pa.RecordBatch]:
+        """Wrappers of one host and salt as one; rows come by host, salt and shape."""
+        now: tuple[str, int] | None = None
+        held: Wrapper | None = None
+
+        def close() -> pa.RecordBatch:
+            return to_batch({"host": [now[0]], "shape": [held.shape], "wrapper": [held.dump()]}, partial)
+
         for b in batches:
-            for host, salt, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                w = Wrapper.load(data)
-                if now is not None and now[:2] == (host, salt):
-                    now = (host, salt, now[2].add(w))
+            for host, shape, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                w, key = Wrapper.load(data), (host, shape % salts if salts else shape)
+                if key == now:
+                    held = held.add(w)
                     continue
                 if now is not None:
-                    yield to_batch({"host": [now[0]], "salt": [now[1]], "wrapper": [now[2].dump()]}, partial)
-                now = (host, salt, w)
+                    yield close()
+                now, held = key, w
         if now is not None:
-            yield to_batch({"host": [now[0]], "salt": [now[1]], "wrapper": [now[2].dump()]}, partial)
+            yield close()
 
     small_batches(pages.sparkSession)
-    schema = "host string, salt long, wrapper binary"
-    first = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(induce, schema)
-    # a host that is on every task merges in 16 places first, then in one
-    salted = first.repartition("host", "salt").sortWithinPartitions("host", "salt").mapInArrow(together, schema)
-    final = salted.withColumn("salt", F.lit(0).cast("long")).repartition("host").sortWithinPartitions("host").mapInArrow(together, schema)
-    return materialize(final.select("host", "wrapper"), "wrappers")
+    rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(induce, schema)
+    # pages of one shape add up first; a host of many shapes is matched in 16 places, then in one, always in the order of shapes
+    for salts in (0, 16, 1):
+        salt = F.col("shape") if not salts else F.col("shape") % salts
+        by = ["host", salt] if salts != 1 else ["host"]
+        rows = rows.repartition(*by).sortWithinPartitions("host", salt, "shape").mapInArrow(lambda b, salts=salts: together(b, salts), schema)
+    return materialize(rows.select("host", "wrapper"), "wrappers")
+
+
+def host_of(url: Column) -> Column:
+    """The host that ``split_url`` finds."""
+    at = F.locate("://", url)
+    rest = F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise("")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.coalesce(F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), capitals, capitals.lower()), F.lit(""))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -471,7 +598,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     found = wrappers(pages)
     size = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]
-    host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^(?:(?!://).)*://([^/?#]*)", 1)), F.lit(""))
+    host = host_of(F.col("url"))
     picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     schema = "page_id long, url string, text string"
     arrow = arrow_schema(schema)
@@ -494,7 +621,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 source = data if shared is None else shared.value.get(key)
                 if len(loaded) >= 500:
                     loaded.clear()
-                loaded[key] = Wrapper.load(source) if source is not None else None
+                loaded[key] = Wrapper.load(source).settled() if source is not None else None
             return loaded[key]
 
         for b in batches:
