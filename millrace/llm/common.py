@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import json
 import tempfile
 import uuid
@@ -48,9 +49,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs deleted now: Spark does it when the driver's garbage is collected,
+    by itself every half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder, deleted at exit like what ``materialize`` writes."""
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"

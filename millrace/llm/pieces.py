@@ -451,10 +451,11 @@ class Head:
         data = np.memmap(source, np.uint8, "r") if isinstance(source, str) else np.frombuffer(source, np.uint8)
         n, width = (int(x) for x in data[:16].view("<i8"))
         self.digests = data[16 : 16 + 8 * n].view("<i8")
-        self.ends = data[16 + 8 * n : 32 + 16 * n].view("<i8")
-        self.ids = data[32 + 16 * n :]
+        at = 16 + 8 * n
+        self.ends = data[at : at + 4 * n + 8].view("<i4")
+        self.ids = data[at + 4 * n + 8 :]
         #: an entry for each digest, then an empty one
-        self.entries = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n + 1, [None, pa.py_buffer(self.ends), pa.py_buffer(self.ids)])
+        self.entries = pa.BinaryArray.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(self.ends), pa.py_buffer(self.ids)])
         self.dtype = np.dtype(f"<u{width}")
 
     @staticmethod
@@ -464,7 +465,7 @@ class Head:
         yield digests[order].astype("<i8").tobytes()
         ids = ids.take(pa.array(order))
         at = ids.offsets.to_numpy() if hasattr(ids, "offsets") else np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1]
-        yield np.append(at - at[0], at[-1] - at[0]).astype("<i8").tobytes()
+        yield np.append(at - at[0], at[-1] - at[0]).astype("<i4").tobytes()
         yield ids.buffers()[2].to_pybytes()[at[0] : at[-1]] if len(ids) else b""
 
     def find(self, units: Collection[str]) -> np.ndarray:
@@ -617,7 +618,7 @@ class _Book:
         """Ids, as bytes, of each word, and whether the head lacks one of its units."""
         distinct = {u: i for i, u in enumerate(dict.fromkeys(found.units))}
         at = self.head.find(distinct)[np.fromiter(map(distinct.__getitem__, found.units), np.int64, len(found.units))]
-        flat = self.head.entries.take(pa.array(at))
+        flat = self.head.entries.take(pa.array(at)).cast(pa.large_binary())
         firsts = np.cumsum(found.sizes) - found.sizes
         ends = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
         words = pa.LargeBinaryArray.from_buffers(
