@@ -100,7 +100,10 @@ def array_agg(x: ColumnOrName, distinct: bool = False, order_by: ColumnOrName |
 
 @function()
 def array_union_agg(a: ColumnOrName) -> Column:
-    return F.array_distinct(F.flatten(F.collect_list(col(a))))
+    """Union of multisets: a value as often as in the array that has it most often."""
+    a = col(a)
+    numbered = F.transform(a, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(a, F.lit(1), i + 1), lambda y: y.eqNullSafe(x))).alias("n")))
+    return F.transform(F.array_distinct(F.flatten(F.collect_set(numbered))), lambda p: p["x"])
 
 
 @function()

@@ -48,23 +48,31 @@ def aggregate_mode(t: Tables) -> DataFrame:
     return t.customer.groupBy("c_nationkey").agg(A.mode("c_mktsegment").alias("m"))
 
 
-@BOOK.query("SELECT label, round(sum(embedding[1]::DOUBLE), 3) AS s1, round(avg(embedding[2]::DOUBLE), 4) AS a2, min(embedding[3]::DOUBLE) AS m3, max(embedding[4]::DOUBLE) AS x4 FROM embeddings GROUP BY label")
+@BOOK.query(
+    "SELECT label, i - 1 AS dimension, round(sum(e::DOUBLE), 3) AS s, round(avg(e::DOUBLE), 4) AS a, min(e::DOUBLE) AS m, max(e::DOUBLE) AS x "
+    "FROM (SELECT label, unnest(embedding) AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i"
+)
 def aggregate_vectors(t: Tables) -> DataFrame:
-    v = F.col("embedding")
-    out = t.embeddings.groupBy("label").agg(A.vector_sum(v, 4).alias("s"), A.vector_avg(v, 4).alias("a"), A.vector_min(v, 4).alias("m"), A.vector_max(v, 4).alias("x"))
-    return out.select("label", F.round(F.col("s")[0], 3).alias("s1"), F.round(F.col("a")[1], 4).alias("a2"), F.col("m")[2].alias("m3"), F.col("x")[3].alias("x4"))
+    v, n = F.col("embedding"), 64
+    out = t.embeddings.groupBy("label").agg(A.vector_sum(v, n).alias("s"), A.vector_avg(v, n).alias("a"), A.vector_min(v, n).alias("m"), A.vector_max(v, n).alias("x"))
+    by = out.select("label", F.posexplode(F.arrays_zip("s", "a", "m", "x")).alias("dimension", "v"))
+    return by.select("label", F.col("dimension").cast("long").alias("dimension"), F.round("v.s", 3).alias("s"), F.round("v.a", 4).alias("a"), "v.m", "v.x")
 
 
-@BOOK.query("SELECT event_type, true AS near FROM events GROUP BY event_type")
+@BOOK.query(
+    "SELECT event_type, count(DISTINCT user_id) AS kept, count(DISTINCT user_id) AS direct, round(quantile_cont(value, 0.5), 6) AS middle FROM events GROUP BY event_type"
+)
 def aggregate_sketches(t: Tables) -> DataFrame:
-    """Estimates within 10 percent of exact values."""
+    """An estimate within 10 percent of the exact value shows as that, any other as it is."""
     per = t.events.groupBy("event_type").agg(
         A.hll_accumulate("user_id").alias("s"), A.approx_count_distinct("user_id").alias("a"), F.count_distinct("user_id").alias("e"),
         A.approx_percentile_accumulate("value").alias("k"), F.percentile("value", 0.5).alias("m"),
     )
-    close = lambda x, y: F.abs(x - y) <= 0.1 * F.abs(y) + 2
-    near = close(A.hll_estimate("s"), F.col("e")) & close(F.col("a"), F.col("e")) & close(A.approx_percentile_estimate("k", 0.5), F.col("m"))
-    return per.select("event_type", near.alias("near"))
+    near = lambda x, y: F.when(F.abs(x - y) <= 0.1 * F.abs(y) + 2, y).otherwise(x)
+    return per.select(
+        "event_type", near(A.hll_estimate("s"), F.col("e")).cast("long").alias("kept"), near(F.col("a"), F.col("e")).cast("long").alias("direct"),
+        F.round(near(A.approx_percentile_estimate("k", 0.5), F.col("m")), 6).alias("middle"),
+    )
 
 
 @BOOK.query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 2")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregate_queries, relational, scalars, storage
+from . import aggregate_queries, families, relational, scalars, storage
 from .book import Query
 
-BOOKS = [relational.BOOK, scalars.BOOK, aggregate_queries.BOOK, storage.BOOK]
+BOOKS = [relational.BOOK, scalars.BOOK, families.BOOK, aggregate_queries.BOOK, storage.BOOK]
 
 
 def queries() -> dict[str, Query]:

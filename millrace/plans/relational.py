@@ -129,10 +129,10 @@ def left_join_count(t: Tables) -> DataFrame:
     return base.join(rich, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("n"))
 
 
-@query("SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey AND s_nationkey = c_nationkey WHERE coalesce(s_suppkey, c_custkey) < 50")
+@query("SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey AND s_nationkey = c_nationkey")
 def full_join(t: Tables) -> DataFrame:
     on = (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("c_nationkey"))
-    return t.supplier.join(t.customer, on, "full").filter(F.coalesce("s_suppkey", "c_custkey") < 50).select("s_suppkey", "c_custkey")
+    return t.supplier.join(t.customer, on, "full").select("s_suppkey", "c_custkey")
 
 
 @query("SELECT r_name, n_name FROM region, nation WHERE r_regionkey = n_regionkey")
@@ -434,9 +434,9 @@ def flatten_variant(t: Tables) -> DataFrame:
     return out.select("event_id", "KEY", F.col("VALUE").cast("bigint").alias("v"))
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INT) AS INDEX, embedding[i] AS VALUE FROM embeddings, range(1, 4) r(i)")
+@query("SELECT vec_id, CAST(i - 1 AS INT) AS INDEX, e AS VALUE FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def flatten_array(t: Tables) -> DataFrame:
-    return tables.flatten(t.embeddings.select("vec_id", F.slice("embedding", 1, 3).alias("e")), "e").select("vec_id", "INDEX", "VALUE")
+    return tables.flatten(t.embeddings.select("vec_id", "embedding"), "embedding").select("vec_id", "INDEX", "VALUE")
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal FROM customer WHERE c_nationkey < 5")
