@@ -36,9 +36,12 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str = "scratch") -> str:
-    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; a local one if unset."""
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; a local one if that is unset and
+    the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
