@@ -150,6 +150,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(f.__module__)
         for b in batches:
             out = f(b)
             if isinstance(out, dict):
@@ -227,6 +228,27 @@ def empty_if_void(df: DataFrame, column: str) -> DataFrame:
     return df
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cached(module: str, clear: Callable[[], None]) -> None:
+    """Say how to empty the caches of a module; Python workers outlive the operators that filled them."""
+    _caches[module] = clear
+
+
+def forget_others(module: str) -> None:
+    """Called where a task of an operator begins: the caches of other operators go, and their memory with them."""
+    import ctypes
+
+    for name, clear in _caches.items():
+        if name != module:
+            clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc: memory is kept for later
+        pass
+
+
 def keep_freed_memory() -> None:
     """Have the C allocator of this Python worker keep up to 64 MB of freed memory for the next arrays.
 

@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrays, map_arrow, pack_arrays, publish, raw, small_batches, to_batch
+from .common import arrow_schema, cached, forget_others, map_arrays, map_arrow, pack_arrays, publish, raw, small_batches, to_batch
 
 WINDOW = 10
 #: Item text of one automaton, in bytes: an executor's node of it takes some 60 bytes. A benchmark beyond this is
@@ -169,6 +169,7 @@ class Automaton:
 
 
 _automata: dict[str, Automaton] = {}
+cached(__name__, _automata.clear)
 
 
 def _automaton(name: str) -> Automaton:
@@ -228,6 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
         arrow = arrow_schema(_SCAN)
 
         def run(batches: Iterator[pa.RecordBatch], name=name, arrow=arrow) -> Iterator[pa.RecordBatch]:
+            forget_others(__name__)
             auto = _automaton(name)
             for b in batches:
                 rows = raw(b.column(2))

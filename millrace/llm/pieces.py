@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, gathered, joined, keep_freed_memory, materialize, publish, raw, setting, small_batches, to_batch, valid
+from .common import arrow_schema, forget_others, gathered, joined, keep_freed_memory, materialize, publish, raw, setting, small_batches, to_batch, valid
 
 #: SentencePiece's stand-in for a blank, and the kinds of pieces and models of its file format (fixed values).
 BLANK = "▁"
@@ -213,6 +213,7 @@ def distinct_units(docs: DataFrame, path: str) -> DataFrame:
     out = arrow_schema("unit string, n long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(__name__)
         keep_freed_memory()
         splitter = _splitter(path)
         for b in gathered(batches, 0):
@@ -586,6 +587,7 @@ def encode_decode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, colu
     arrow = arrow_schema(schema)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(__name__)
         keep_freed_memory()
         book, decoder = _book(path, name), Decoder(load(path))
         for b in gathered(batches, 2):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, gathered, joined, keep_freed_memory, materialize, scratch_path, small_batches, to_batch, valid
+from .common import arrow_schema, cached, forget_others, gathered, joined, keep_freed_memory, materialize, scratch_path, small_batches, to_batch, valid
 
 MAX_LEN = 20
 BLOCK = 512
@@ -232,6 +232,7 @@ class BatchEncoder:
 
 
 _encoders: dict[str, BatchEncoder] = {}
+cached(__name__, _encoders.clear)
 
 
 def encoder(path: str) -> BatchEncoder:
@@ -254,6 +255,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID)
     tokens = arrow_schema("kind int, doc_id long, th long, ids binary")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(__name__)
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         counts = np.zeros(max(enc.tok.get_vocab_size(), end_id + 1), np.int64)
@@ -294,10 +296,10 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID)
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths)))
     schema = "part int, first long, n_tokens long, doc_ids array<long>, counts array<int>, offsets array<long>, bits binary"
     frames = arrow_schema(schema)
+    dtype = encoder(tokenizer).dtype
 
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, codes = shared.value
-        dtype = encoder(tokenizer).dtype
         part, first = TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         doc_ids: list[int | None] = []

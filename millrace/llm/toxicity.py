@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, raw
+from .common import cached, map_arrow, raw
 
 HASH_BITS = 18
 RANK = 8
@@ -30,7 +30,7 @@ EPOCHS = 8
 STEPS = 400
 THRESHOLD = 0.7
 PREFIXES = (4, 5)
-CACHE = 200_000
+CACHE = 100_000
 
 
 def _is_word(c: int) -> bool:
@@ -43,6 +43,14 @@ _young: dict[bytes, np.ndarray] = {}
 _old: dict[bytes, np.ndarray] = {}
 
 
+def _forget() -> None:
+    _young.clear()
+    _old.clear()
+
+
+cached(__name__, _forget)
+
+
 def _word_terms(word: bytes) -> np.ndarray:
     """Hashed ids of a word and its beginnings."""
     global _young, _old
