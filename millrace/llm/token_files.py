@@ -28,7 +28,7 @@ BLOCK = 512
 FRAME = 1 << 19
 END_ID = 2
 #: Cached words in each of two generations, per Python worker, and the bytes of ids that one may have.
-CACHE, CACHED_BYTES = 250_000, 64
+CACHE, CACHED_BYTES = 300_000, 64
 
 # --- the code --------------------------------------------------------------------------------------------
 
@@ -170,8 +170,8 @@ class BatchEncoder:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [array("H" if self.dtype == "<u2" else "I", e.ids).tobytes() for e in found]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids, as bytes, of words that follow a blank."""
+    def words(self, words: list[str], often: list[bool]) -> list[bytes]:
+        """Ids, as bytes, of words that follow a blank; those that a batch has often are kept for the next."""
         young, old = self.young, self.old
         out = list(map(young.get, words))
         new = []
@@ -190,7 +190,7 @@ class BatchEncoder:
                 data = ids.tobytes()
                 for i, s, t in zip(group, (first * width).tolist(), np.append(first[1:] * width, len(data)).tolist(), strict=True):
                     out[i] = data[s:t]
-                    if t - s <= CACHED_BYTES:
+                    if often[i] and t - s <= CACHED_BYTES:
                         young[words[i]] = out[i]
             if len(young) > CACHE:
                 self.old, self.young = young, {}
@@ -209,7 +209,7 @@ class BatchEncoder:
         counts = np.ones(n, np.int64)
         counts[even] = np.diff(lists.offsets.to_numpy())
         names = joined(found.dictionary, " ").split(" ") if len(found.dictionary) else []
-        known = self.words(names)
+        known = self.words(names, (np.bincount(codes, minlength=len(names)) > 1).tolist())
         # the first word of a text has no blank
         at = (np.cumsum(counts[even]) - counts[even]).astype(np.int64)
         known += self.whole([names[c] for c in codes[at].tolist()])
