@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], aggregates: dict[str, Column], grouping_id: str | None = None) -> DataFrame:
     """GROUP BY GROUPING SETS: keys that a set leaves out are null."""
@@ -112,3 +114,43 @@ def _reversed(key: Column) -> Column:
     if down:
         return c.asc_nulls_last() if first else c.asc_nulls_first()
     return c.desc_nulls_last() if first else c.desc_nulls_first()
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """Exact percentiles of a numeric column by group: name -> (share, ``cont`` or ``disc``), as PERCENTILE_CONT and _DISC.
+
+    No task holds a group. Values are counted, dealt out in ranges of (keys, value) and written; a group's counts by
+    range say where each range begins, and a running count within it finds the ranks that are wanted. Nulls don't
+    count; a group of nulls has nulls. For a few small groups the aggregate functions do as well.
+    """
+    known = F.when(F.col(value).isNotNull(), 1).otherwise(0)
+    counts = df.groupBy(*keys, value).agg(F.sum(known).alias("_n")).repartitionByRange(*keys, value).withColumn("_b", F.spark_partition_id())
+    path = scratch(df.sparkSession, "ranks")
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.schema(counts.schema).parquet(path)
+    ranges = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_sum"))
+    by = Window.partitionBy(*keys)
+    before = by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_at"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"), F.sum("_sum").over(by).alias("_total"),
+    )
+    on = F.col("_b") == F.col("_at")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    upto = F.col("_start") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rows = counts.join(starts, on).withColumn("_upto", upto)
+    last = F.col("_total") - 1
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col(value)))
+
+    made = []
+    for name, (share, kind) in wanted.items():
+        if kind == "disc":
+            made.append(at(F.greatest(F.ceil(F.lit(share) * F.col("_total")) - 1, F.lit(0))).alias(name))
+            continue
+        place = F.lit(share) * last
+        low, high, rest = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        made.append((low + (high - low) * rest).alias(name))
+    return rows.groupBy(*keys).agg(*made)

@@ -152,6 +152,7 @@ def match_recognize(
 
         pdf = pdf.sort_values("_n", kind="stable").reset_index(drop=True)
         text = "".join(chr(_BASE + m) for m in pdf["_mask"])
+        column = {c: pdf[c].tolist() for c in needed}
         compiled = regex.compile(expression, regex.S)
         out: list[dict] = []
         at = number = 0
@@ -168,7 +169,7 @@ def match_recognize(
             picked = [i for i, s in sorted(symbols.items()) if i <= upto and (not rest[0] or s == rest[0].upper())]
             if kind == "count":
                 return len(picked)
-            values = [pdf[rest[1]].iloc[i] for i in picked]
+            values = [column[rest[1]][i] for i in picked]
             if kind in ("first", "last"):
                 return (values[0] if kind == "first" else values[-1]) if values else None
             values = [v for v in values if not pd.isna(v)]
@@ -188,13 +189,13 @@ def match_recognize(
             covered |= set(range(m.start(), m.end()))
             if every:
                 if m.end() == m.start() and not no_empty:
-                    out.append({c: pdf[c].iloc[m.start()] for c in kept} | {k: measure(s, {}, m.start(), None) for k, s in measures.items()})
+                    out.append({c: column[c][m.start()] for c in kept} | {k: measure(s, {}, m.start(), None) for k, s in measures.items()})
                 for i in range(m.start(), m.end()):
                     if i not in hidden:
-                        out.append({c: pdf[c].iloc[i] for c in kept} | {k: measure(s, symbols, i, i) for k, s in measures.items()} | {"_at": i})
+                        out.append({c: column[c][i] for c in kept} | {k: measure(s, symbols, i, i) for k, s in measures.items()} | {"_at": i})
             elif len(pdf):
                 here = min(m.start(), len(pdf) - 1)
-                out.append({c: pdf[c].iloc[here] for c in kept} | {k: measure(s, symbols, m.end() - 1, None) for k, s in measures.items()})
+                out.append({c: column[c][here] for c in kept} | {k: measure(s, symbols, m.end() - 1, None) for k, s in measures.items()})
             to = skip.upper().split()
             if to[:2] == ["TO", "NEXT"] or m.end() == m.start():
                 at = m.start() + 1
@@ -209,7 +210,7 @@ def match_recognize(
         if every and unmatched:
             for i in range(len(pdf)):
                 if i not in covered:
-                    out.append({c: pdf[c].iloc[i] for c in kept} | dict.fromkeys(measures) | {"_at": i})
+                    out.append({c: column[c][i] for c in kept} | dict.fromkeys(measures) | {"_at": i})
             out.sort(key=lambda r: r.get("_at", -1))
         made = pd.DataFrame(out, columns=[f.name for f in schema])
         for f in schema:

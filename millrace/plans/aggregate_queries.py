@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import REGISTRY
 from ..functions import aggregates as A
+from ..operators import groups
 from .book import Book, Tables
 
 BOOK = Book()
@@ -32,9 +33,24 @@ BOOK.totals(
     ra=(r(lambda: fn["REGR_AVGX"]("l_extendedprice", "l_quantity")), "round(regr_avgx(l_extendedprice, l_quantity), 4)"), rb=(r(lambda: fn["REGR_AVGY"]("l_extendedprice", "l_quantity"), 2), "round(regr_avgy(l_extendedprice, l_quantity), 2)"), rc=(lambda: fn["REGR_COUNT"]("l_extendedprice", "l_quantity"), "regr_count(l_extendedprice, l_quantity)::BIGINT"),
     ri=(r(lambda: fn["REGR_INTERCEPT"]("l_extendedprice", "l_quantity"), 2), "round(regr_intercept(l_extendedprice, l_quantity), 2)"), rr=(r(lambda: fn["REGR_R2"]("l_extendedprice", "l_quantity"), 6), "round(regr_r2(l_extendedprice, l_quantity), 6)"), rs=(r(lambda: fn["REGR_SLOPE"]("l_extendedprice", "l_quantity"), 3), "round(regr_slope(l_extendedprice, l_quantity), 3)"),
     sx=(r(lambda: fn["REGR_SXX"]("l_extendedprice", "l_quantity"), 0), "round(regr_sxx(l_extendedprice, l_quantity), 0)"), ku=(r(lambda: A.kurtosis("l_extendedprice")), "round(kurtosis(l_extendedprice), 4)"), sk=(r(lambda: A.skew("l_extendedprice")), "round(skewness(l_extendedprice), 4)"),
-    me=(r(lambda: A.median("l_quantity")), "round(median(l_quantity), 4)"), pc=(r(lambda: A.percentile_cont("l_extendedprice", 0.9)), "round(quantile_cont(l_extendedprice, 0.9), 4)"), pd=(lambda: A.percentile_disc("l_extendedprice", 0.25), "quantile_disc(l_extendedprice, 0.25)"),
 )
 
+BOOK.totals(
+    "aggregate_percentiles", "customer", ["c_nationkey"],
+    me=(r(lambda: A.median("c_acctbal")), "round(median(c_acctbal), 4)"), pc=(r(lambda: A.percentile_cont("c_acctbal", 0.9)), "round(quantile_cont(c_acctbal, 0.9), 4)"), pd=(lambda: A.percentile_disc("c_acctbal", 0.25), "quantile_disc(c_acctbal, 0.25)"),
+)
+
+
+@BOOK.query(
+    "SELECT l_returnflag, round(median(l_extendedprice), 4) AS middle, round(quantile_cont(l_extendedprice, 0.9), 4) AS high, quantile_disc(l_extendedprice, 0.25) AS low "
+    "FROM lineitem GROUP BY l_returnflag"
+)
+def percentiles_by_rank(t: Tables) -> DataFrame:
+    """Three groups hold all rows: ranks are found range by range."""
+    found = groups.percentiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"middle": (0.5, "cont"), "high": (0.9, "cont"), "low": (0.25, "disc")})
+    return found.select("l_returnflag", F.round("middle", 4).alias("middle"), F.round("high", 4).alias("high"), "low")
+
+
 BOOK.totals(
     "aggregates_collections", "customer", ["c_nationkey"],
     la=(lambda: A.listagg("c_mktsegment", ",", distinct=True), "string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment)"), ls=(lambda: A.listagg("c_name", "|", order_by="c_custkey"), "string_agg(c_name, '|' ORDER BY c_custkey)"), ar=(lambda: F.array_join(A.array_agg("c_custkey", order_by="c_custkey", desc=True).cast("array<string>"), ","), "string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey DESC)"),

@@ -233,3 +233,19 @@ def test_stream_equals_batch(spark, sf):
     q = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert values(spark.table("counts")) == values(batch)
+
+
+def test_percentiles_by_rank(spark):
+    """Against the aggregate functions: ties, nulls, a group of nulls, a null key, one value; and no rows."""
+    from pyspark.sql import functions as F
+
+    from millrace.functions import aggregates as A
+    from millrace.operators import groups
+
+    rows = [("a", float(i % 7)) for i in range(100)] + [("a", None)] * 5 + [("b", 3.5)] + [("c", None)] * 2 + [(None, float(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: tuple(r)[1:] for r in groups.percentiles(df, ["k"], "v", {"m": (0.5, "cont"), "h": (0.9, "cont"), "d": (0.25, "disc"), "z": (0.0, "disc")}).collect()}
+    want = df.groupBy("k").agg(A.percentile_cont("v", 0.5).alias("m"), A.percentile_cont("v", 0.9).alias("h"), A.percentile_disc("v", 0.25).alias("d"), F.min("v").alias("z"))
+    assert {k: tuple(x if x is None else round(float(x), 9) for x in v) for k, v in got.items()} == {r.k: tuple(x if x is None else round(float(x), 9) for x in tuple(r)[1:]) for r in want.collect()}
+    assert groups.percentiles(df.limit(0), ["k"], "v", {"m": (0.5, "cont")}).count() == 0
+    assert groups.percentiles(df, [], "v", {"m": (1.0, "cont")}).first().m == 9.0
