@@ -49,6 +49,16 @@ def dml_merge(t: Tables) -> DataFrame:
     return v.read()
 
 
+@query(
+    "SELECT c_custkey, c_nationkey, coalesce(o.least, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS least FROM orders GROUP BY 1) o ON o_custkey = c_custkey"
+)
+def dml_update_from(t: Tables) -> DataFrame:
+    """Of a customer's orders the one with the least price is taken."""
+    v = _customers(t)
+    v.update_from(t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_totalprice"), ["c_custkey"], {"c_acctbal": F.col("s.o_totalprice")})
+    return v.read()
+
+
 @query("""SELECT c_custkey, c_acctbal + 1 AS c_acctbal, 'INSERT' AS action, true AS is_update FROM customer WHERE c_nationkey = 7
 UNION ALL SELECT c_custkey, c_acctbal, 'DELETE', true FROM customer WHERE c_nationkey = 7 UNION ALL SELECT c_custkey, c_acctbal, 'DELETE', false FROM customer WHERE c_nationkey = 8
 UNION ALL SELECT 5000000, 1.5, 'INSERT', false""")

@@ -208,6 +208,16 @@ class VersionedTable:
 
         return self._rewrite("UPDATE", v, n, touched, new)
 
+    def update_from(self, source: DataFrame, on: Sequence[str], assignments: dict[str, Column]) -> Version:
+        """UPDATE ... FROM: expressions name target columns ``t.x`` and source columns ``s.x``.
+
+        Of several source rows that fit a target row the least one, by its other columns, is taken.
+        """
+        others = [c for c in source.columns if c not in on]
+        least = F.min(F.struct(*(F.col(f"`{c}`") for c in others))) if others else F.first(F.lit(None))
+        one = source.groupBy(*on).agg(least.alias("_row")).select(*on, *(F.col(f"_row.`{c}`") for c in others))
+        return self.merge(one, on, matched_update=assignments)
+
     def merge(
         self,
         source: DataFrame,
