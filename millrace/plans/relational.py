@@ -135,6 +135,11 @@ def full_join(t: Tables) -> DataFrame:
     return t.supplier.join(t.customer, on, "full").select("s_suppkey", "c_custkey")
 
 
+@query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
+def equi_join(t: Tables) -> DataFrame:
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_totalprice")
+
+
 @query("SELECT r_name, n_name FROM region, nation WHERE r_regionkey = n_regionkey")
 def comma_join(t: Tables) -> DataFrame:
     return t.region.crossJoin(t.nation).filter("r_regionkey = n_regionkey").select("r_name", "n_name")
