@@ -178,17 +178,50 @@ def ai_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     return vector_cosine_similarity(embed_text_768(a), embed_text_768(b))
 
 
+def fold(model: Model, request: dict, texts: list[str], most_chars: int) -> str | None:
+    """One answer for all texts: bounded chunks of them are answered, then the answers, until one is left.
+
+    A text longer than a chunk is several. Answers that aren't shorter than what they answer can't be folded any
+    further: those of that round are joined.
+    """
+    while True:
+        pieces = [t[i : i + most_chars] for t in texts for i in range(0, max(1, len(t)), most_chars)]
+        chunks: list[str] = []
+        for p in pieces:
+            if chunks and len(chunks[-1]) + 1 + len(p) <= most_chars:
+                chunks[-1] += "\n" + p
+            else:
+                chunks.append(p)
+        answers = model([request | {"text": c} for c in chunks or [""]])
+        if len(answers) == 1:
+            return answers[0]
+        said = [x for x in answers if x is not None]
+        if sum(map(len, said)) >= sum(map(len, chunks)):
+            return "\n".join(said)
+        texts = said
+
+
+def _ask_all(task: str, text: ColumnOrName, more: dict, most_chars: int) -> Column:
+    model, request = _model[0], {"task": task} | more
+
+    @batch_udf("string")
+    def run(groups: pd.Series) -> pd.Series:
+        return pd.Series([fold(model, request, list(g), most_chars) for g in groups], dtype=object)
+
+    return run(F.array_sort(F.collect_list(col(text).cast("string"))))
+
+
 @function("AI_AGG")
 def ai_agg(text: ColumnOrName, prompt: str, most_chars: int = 200_000) -> Column:
-    """One answer for a group: its texts, sorted, joined and cut to what a prompt may hold."""
-    joined = F.array_join(F.array_sort(F.collect_list(col(text))), "\n")
-    return _ask("complete", F.left(joined, F.lit(most_chars)), {"prompt": prompt})
+    """One answer for a group, to which all its texts count, sorted; ``most_chars``: what one prompt may hold. A group's
+    texts meet in one task."""
+    return _ask_all("complete", text, {"prompt": prompt}, most_chars)
 
 
 @function("AI_SUMMARIZE_AGG")
 def ai_summarize_agg(text: ColumnOrName, most_chars: int = 200_000) -> Column:
-    joined = F.array_join(F.array_sort(F.collect_list(col(text))), "\n")
-    return _ask("summarize", F.left(joined, F.lit(most_chars)))
+    """A summary of a group's texts, as ``ai_agg``."""
+    return _ask_all("summarize", text, {}, most_chars)
 
 
 def split_recursive(text: str, size: int, overlap: int = 0, separators: list[str] | None = None) -> list[str]:

@@ -106,3 +106,28 @@ def test_shapes_round_trip():
 def test_formats():
     assert conversion.pattern("YYYY-MM-DD\"T\"HH24:MI:SS.FF3") == "yyyy-MM-dd'T'HH:mm:ss.SSS"
     assert strings.jarowinkler("", "a") == 0
+
+
+def test_ai_aggregates_read_every_text(spark):
+    """Groups beyond one prompt are answered chunk by chunk, and no text is left out."""
+    from millrace.functions import ai
+
+    rows = [(g, f"text {g} {i:03d} " + "x" * 30) for g in ("a", "b") for i in range(50)] + [("c", "only one"), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, t string")
+    got = {r.g: r for r in df.groupBy("g").agg(ai.ai_agg("t", "list them", 200).alias("all"), ai.ai_summarize_agg("t").alias("short")).collect()}
+    assert all(f"text a {i:03d} " in got["a"]["all"] for i in range(50)) and got["c"]["all"] == "only one" and got["d"]["all"] == ""
+    assert got["c"].short == "only one"
+
+
+def test_ai_fold_counts():
+    """A model that adds up the numbers that it is given: the fold's answer is the sum of all."""
+    from millrace.functions import ai
+
+    seen = []
+
+    def add(requests):
+        seen.extend(len(r["text"]) for r in requests)
+        return [str(sum(map(int, r["text"].split()))) for r in requests]
+
+    assert ai.fold(add, {"task": "complete"}, [str(i) for i in range(1000)], 100) == str(sum(range(1000)))
+    assert max(seen) <= 100 and ai.fold(add, {}, [], 100) == "0"
