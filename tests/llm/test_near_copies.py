@@ -55,3 +55,41 @@ def test_near_copies_odd(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == [1, 4, 6, 8]
     assert near_copies.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_stage_links_fingerprints_first(spark, monkeypatch):
+    """The stage's first pairs are the links of SimHash: those that join all fingerprints of five-word shingles within TAU bits."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(30):
+        words = rng.choices([f"w{i}" for i in range(500)], k=120)
+        for edits in (0, 1, 2, 4):
+            new = list(words)
+            for at in rng.sample(range(len(new)), edits):
+                new[at] = "edited"
+            texts.append(" ".join(new))
+    texts += ["w1 W2", "w1 w2", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    links, verified = near_copies.links, near_copies.verified
+    monkeypatch.setattr(near_copies, "links", lambda nodes, tau: seen.append((tau, {r.fp for r in nodes.collect()})) or links(nodes, tau))
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *rest: seen.append({(r.a, r.b) for r in pairs.collect()}) or verified(pairs, *rest))
+    corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    fps = {near_copies.name(near_copies.shingles((t or "").encode())): simhash.fingerprint((t or "").encode(), 5) for t in texts}
+    (tau, linked), first = seen[:2]
+    assert tau == near_copies.TAU and linked == {f - (1 << 64) if f >> 63 else f for f in fps.values()}
+    group = {sh: {sh} for sh in fps}
+
+    def join(a, b):
+        whole = group[a] | group[b]
+        group.update(dict.fromkeys(whole, whole))
+
+    for a, b in first:
+        join(a, b)
+    got = {frozenset(x) for x in group.values()}
+    group = {sh: {sh} for sh in fps}
+    for a in fps:
+        for b in fps:
+            if (fps[a] ^ fps[b]).bit_count() <= tau and b not in group[a]:
+                join(a, b)
+    assert first and got == {frozenset(x) for x in group.values()}
