@@ -149,6 +149,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict
     small_batches(df.sparkSession)
     arrow = arrow_schema(schema)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others(f.__module__)
         for b in batches:
@@ -238,17 +239,33 @@ def cached(module: str, clear: Callable[[], None]) -> None:
 
 def forget_others(module: str) -> None:
     """Called where a task of an operator begins: the caches of other operators go, and their memory with them."""
-    import ctypes
-
     for name, clear in _caches.items():
         if name != module:
             clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return the freed memory that Arrow and the C allocator keep to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # no glibc: memory is kept for later
         pass
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of ``mapInArrow``, after which the worker gives its memory back: idle workers stay beside the JVM."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def keep_freed_memory() -> None:
     """Have the C allocator of this Python worker keep up to 64 MB of freed memory for the next arrays.
 

@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, forget_others, gathered, joined, keep_freed_memory, materialize, publish, raw, setting, small_batches, to_batch, valid
+from .common import arrow_schema, forget_others, gathered, joined, keep_freed_memory, materialize, publish, raw, setting, small_batches, tidy, to_batch, valid
 
 #: SentencePiece's stand-in for a blank, and the kinds of pieces and models of its file format (fixed values).
 BLANK = "▁"
@@ -212,6 +212,7 @@ def distinct_units(docs: DataFrame, path: str) -> DataFrame:
     """``unit, n``: every unit of the corpus and how often it occurs."""
     out = arrow_schema("unit string, n long")
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others(__name__)
         keep_freed_memory()
@@ -427,7 +428,9 @@ def dictionary(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     of_bytes = vocabulary.byte_ids
     known = {vocabulary.pieces[i]: [i] for i in vocabulary.plain}
 
+    @tidy
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(__name__)
         for b in batches:
             ids = []
             for u, cuts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -586,6 +589,7 @@ def encode_decode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, colu
         )
     arrow = arrow_schema(schema)
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others(__name__)
         keep_freed_memory()
@@ -666,7 +670,9 @@ def _rows(found: Words, hit: np.ndarray) -> np.ndarray:
 def _missing(path: str, name: str):
     arrow = arrow_schema("doc_id long, th long, unit string")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(__name__)
         book = _book(path, name)
         none = len(book.head.digests)
         for b in gathered(batches, 2):

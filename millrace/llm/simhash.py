@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow, materialize, raw, small_batches, to_batch
+from .common import arrow_schema, map_arrow, materialize, raw, small_batches, tidy, to_batch
 
 BITS = 64
 #: Fixed by XXH64's use in this operator.
@@ -257,6 +257,7 @@ def links(nodes: DataFrame, tau: int = 4) -> DataFrame:
         rows = entries.join(crowded, "bucket", "left_anti").unionByName(dealt)
     pair = arrow_schema("a long, b long")
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         held: list[tuple[np.ndarray, np.ndarray]] = []

@@ -93,3 +93,31 @@ def test_stage_links_fingerprints_first(spark, monkeypatch):
             if (fps[a] ^ fps[b]).bit_count() <= tau and b not in group[a]:
                 join(a, b)
     assert first and got == {frozenset(x) for x in group.values()}
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """When a task of an operator ends, its batches are gone and their memory is given back; idle workers stay."""
+    import types
+    import weakref
+
+    import pyarrow as pa
+
+    from millrace.llm import common
+
+    held, state = [], []
+    monkeypatch.setattr(common, "give_back", lambda: state.append([r() is None for r in held]))
+    conf = types.SimpleNamespace(set=lambda *_: None)
+    df = types.SimpleNamespace(sparkSession=types.SimpleNamespace(conf=conf), mapInArrow=lambda run, schema: run)
+
+    def keep(b):
+        array = b.column(0).to_numpy() + 1
+        held.append(weakref.ref(array))
+        return {"x": array}
+
+    keep.__module__ = "millrace.llm.pieces"
+    batches = (pa.record_batch({"x": pa.array([i], pa.int64())}) for i in range(3))
+    rows, out = common.map_arrow(df, keep, "x long")(batches), []
+    while (b := next(rows, None)) is not None:
+        out.append(b.column(0).to_pylist())
+        del b
+    assert out == [[1], [2], [3]] and state == [[], [True] * 3]  # as a task begins, as it ends
