@@ -36,9 +36,14 @@ def count_if(p: ColumnOrName) -> Column:
     return F.count_if(col(p))
 
 
+#: Standard error of 16,384 registers. Spark's own default has 512, an error of 0.05: some groups are off by more than 0.1.
+RSD = 0.0087
+
+
 @function("APPROX_COUNT_DISTINCT", "HLL")
-def approx_count_distinct(*xs: ColumnOrName, rsd: float | None = None) -> Column:
-    """Distinct tuples, rows with a null left out."""
+def approx_count_distinct(*xs: ColumnOrName, rsd: float = RSD) -> Column:
+    """Distinct tuples, rows with a null left out. A group holds its registers, 13 KB at the default; a larger ``rsd`` takes less.
+    Beside an aggregate of distinct values Spark holds them for each such value, so make that one apart."""
     one = col(xs[0]) if len(xs) == 1 else F.when(_all_set(xs), F.struct(*map(col, xs)))
     return F.approx_count_distinct(one, rsd)
 
@@ -60,7 +65,9 @@ def approx_percentile_combine(state: ColumnOrName) -> Column:
 
 @function()
 def approx_percentile_estimate(state: ColumnOrName, p: float) -> Column:
-    return F.call_function("kll_sketch_get_quantile_double", col(state), F.lit(float(p)))
+    """Null for a state without values."""
+    known = F.call_function("kll_sketch_get_n_double", col(state)) > 0
+    return F.when(known, F.call_function("kll_sketch_get_quantile_double", col(state), F.lit(float(p))))
 
 
 def _pairs(top: Column, value: str) -> Column:

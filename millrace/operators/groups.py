@@ -17,6 +17,17 @@ def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], aggregates: dict
     return df.groupingSets([[F.col(c) for c in s] for s in sets], *map(F.col, names)).agg(*(v.alias(k) for k, v in aggregates.items()), *extra)
 
 
+def beside(keys: Sequence[str], first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The aggregates of several groupings by the same keys, a row for each group that all have; null keys are equal."""
+    for other in others:
+        made = other.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        first = first.join(made, same).drop(*(f"_k{i}" for i in range(len(keys))))
+    return first
+
+
 def group_by_all(df: DataFrame, keys: dict[str, Column], aggregates: dict[str, Column]) -> DataFrame:
     """GROUP BY ALL: every item that isn't an aggregate is a key."""
     return df.groupBy(*(v.alias(k) for k, v in keys.items())).agg(*(v.alias(k) for k, v in aggregates.items()))

@@ -80,10 +80,10 @@ def aggregate_vectors(t: Tables) -> DataFrame:
 )
 def aggregate_sketches(t: Tables) -> DataFrame:
     """An estimate within 10 percent of the exact value shows as that, any other as it is."""
-    per = t.events.groupBy("event_type").agg(
-        A.hll_accumulate("user_id").alias("s"), A.approx_count_distinct("user_id").alias("a"), F.count_distinct("user_id").alias("e"),
-        A.approx_percentile_accumulate("value").alias("k"), F.percentile("value", 0.5).alias("m"),
-    )
+    by = t.events.groupBy("event_type")
+    exact = by.agg(F.count_distinct("user_id").alias("e"), F.percentile("value", 0.5).alias("m"))
+    sketch = by.agg(A.hll_accumulate("user_id").alias("s"), A.approx_count_distinct("user_id").alias("a"), A.approx_percentile_accumulate("value").alias("k"))
+    per = groups.beside(["event_type"], exact, sketch)
     near = lambda x, y: F.when(F.abs(x - y) <= 0.1 * F.abs(y) + 2, y).otherwise(x)
     return per.select(
         "event_type", near(A.hll_estimate("s"), F.col("e")).cast("long").alias("kept"), near(F.col("a"), F.col("e")).cast("long").alias("direct"),

@@ -79,6 +79,17 @@ def test_sample_moments(spark):
     assert df.filter("x > 50").agg(A.listagg("x").alias("l")).first().l == ""
 
 
+def test_estimates_of_sketches(spark):
+    """512 registers take the 1,000 values for 1,133."""
+    from millrace.functions import aggregates as A
+
+    df = spark.range(112_000, 113_000)
+    r = df.agg(A.approx_count_distinct("id").alias("n"), A.approx_count_distinct("id", "id").alias("pairs"), A.approx_count_distinct("id", rsd=0.05).alias("coarse")).first()
+    assert abs(r.n - 1000) <= 20 and abs(r.pairs - 1000) <= 20 and r.coarse == 1133
+    none = df.filter("id < 0").agg(A.approx_count_distinct("id").alias("n"), A.approx_percentile_accumulate("id").alias("s")).select("n", A.approx_percentile_estimate("s", 0.5).alias("p")).first()
+    assert (none.n, none.p) == (0, None)
+
+
 def test_division_scale(spark):
     r = spark.sql("SELECT 1 AS a, 3 AS b").select(numbers.divide("a", "b", 0).alias("v")).first().v
     assert r == Decimal("0.333333")
